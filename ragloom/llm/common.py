@@ -104,3 +104,27 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, budget: int = SUB_
 def sizes(column: pa.Array) -> np.ndarray:
     """Bytes of each text."""
     return pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordBatch]:
+    """Of batches sorted by a column, one batch for each run of equal values; a run may span batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if rest and rest[0].column(key)[0].as_py() != keys[0]:
+            yield _joined(rest)
+            rest = []
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        at = 0
+        for to in cuts.tolist():
+            yield _joined([*rest, batch.slice(at, to - at)])
+            rest, at = [], to
+        rest.append(batch.slice(at))
+    if rest:
+        yield _joined(rest)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

@@ -18,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -43,7 +49,7 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op3_token_counts, op7_media_columns, op8_bpe_roundtrip, op9_html_extract]
+    named = [op2_minhash_neardup, op3_token_counts, op7_media_columns, op8_bpe_roundtrip, op9_html_extract]
     return {f.__name__: f for f in named}
 
 
