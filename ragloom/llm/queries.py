@@ -48,8 +48,14 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_neardup import vector_near_duplicates
+
+    return vector_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9, recall=0.99)
+
+
 def queries() -> dict[str, Query]:
-    named = [op2_minhash_neardup, op3_token_counts, op7_media_columns, op8_bpe_roundtrip, op9_html_extract]
+    named = [op2_minhash_neardup, op3_token_counts, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup]
     return {f.__name__: f for f in named}
 
 
