@@ -30,6 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import train_and_score
+
+    return train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media_png import media_columns, media_features
 
@@ -55,7 +61,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op2_minhash_neardup, op3_token_counts, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup]
+    named = [op2_minhash_neardup, op3_token_counts, op4_lm_scoring, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup]
     return {f.__name__: f for f in named}
 
 
