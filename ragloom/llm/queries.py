@@ -36,6 +36,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import page_languages
+
+    return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media_png import media_columns, media_features
 
@@ -61,7 +67,7 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op2_minhash_neardup, op3_token_counts, op4_lm_scoring, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup]
+    named = [op2_minhash_neardup, op3_token_counts, op4_lm_scoring, op5_language_id, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup]
     return {f.__name__: f for f in named}
 
 
