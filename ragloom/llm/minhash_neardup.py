@@ -8,9 +8,9 @@ probability (1 - (1 - s^ROWS)^m)^2; m is the least number that makes this 1 - MI
 Steps, all distributed:
 1. Documents with equal shingle sets become one class, of the least id.
 2. First pass, over the m diagonal tables: each class is compared with one leader, the least id it meets in a
-   bucket. Links give components. This joins nearly all of a large group by one comparison a member.
-3. Second pass, over all tables: only buckets that hold two components or more matter. Sizes and sketches say which
-   members of different components may be links; such pairs join documents to clusters.
+   bucket, and takes it as its label if they are linked. This joins most of a large group by one comparison a member.
+3. Second pass, over all tables: only buckets that hold two labels or more matter. Sizes and sketches say which
+   members of different labels may be links; such pairs join documents to clusters.
 4. Within clusters, such pairs are confirmed on full sets, a pair of blocks at a time; components of all links are the
    result.
 
@@ -42,10 +42,8 @@ MISS = 1e-4
 BLOCK = 1024
 #: Documents and shingles of a cluster that meet in one task at once, likewise.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 200_000
-#: Bits of the filter over ids whose texts are needed; a fixed size, so that what is sent to the workers is bounded.
-FILTER_BITS = 1 << 21
-#: Largest table of bucket keys that is broadcast (16 bytes each).
-BROADCAST_KEYS = 100_000
+#: Bits of the maps of hashed ids and bucket keys that workers filter by; a fixed size, so what is sent to them is bounded.
+FILTER_BITS = 1 << 24
 
 
 def side_size(percent: int) -> int:
@@ -79,6 +77,17 @@ def _small_keys(minima: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def table_keys(keys: np.ndarray) -> np.ndarray:
+    """The keys of all tables: each pair of a left and a right small key."""
+    side = keys.shape[1] // 2
+    left, right = keys[:, :side, None].astype(np.uint64), keys[:, None, side:].astype(np.uint64)
+    return mix((mix(left) ^ right) * np.uint64(0x9E3779B97F4A7C15)).reshape(len(keys), -1).astype(np.int64)
+
+
+def _all_keys(column: pa.Array) -> np.ndarray:
+    return table_keys(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+
 def signatures(docs: DataFrame, side: int) -> DataFrame:
     """id, n (shingles), s1, s2 (128 bits of the set), keys (array of 2 * side), sketch (a byte of each minimum)."""
     both = 2 * side
@@ -106,31 +115,39 @@ def _similar_size(a: F.Column, b: F.Column, percent: int) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _filtered(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents (id, text) whose id may be in the pairs: by a bit map of FILTER_BITS hashed ids.
+def _bit_map(hashes: DataFrame) -> np.ndarray:
+    """A map of FILTER_BITS bits, those of the column's numbers set.
 
-    The map has one size whatever the input; with more ids it only lets more documents pass, and the join after it
-    is exact.
+    It has one size whatever the input; with more numbers than bits it only lets more rows pass, and exact joins follow.
     """
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("slot"))
-    words = slots.select((F.col("slot") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, slot % 32)").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    slots = hashes.toDF("h").select(F.pmod("h", F.lit(FILTER_BITS)).alias("slot"))
+    words = slots.groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(slot % 32))")).alias("bits"))
+    found = words.toPandas()
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return bits
+
+
+def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.astype(np.int64) & (FILTER_BITS - 1)
+    return bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1) > 0
+
+
+def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (id, text) whose id may be among the ids."""
+    bits = _bit_map(ids.select(F.xxhash64(*ids.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            mask = bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1) > 0
-            kept = batch.filter(pa.array(mask))
+            kept = batch.filter(pa.array(_in_map(bits, batch.column(2).to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["id", "text"])
 
-    return docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("slot")).mapInArrow(run, "id long, text string")
+    return docs.where(F.col("id").isNotNull()).select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, text string")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union; a checkpoint."""
-    texts = _filtered(docs.where(F.col("id").isNotNull()), pairs)
+    texts = _filtered(docs, pairs.select(F.explode(F.array("a", "b"))))
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -254,7 +271,7 @@ def _confirm_clusters(clustered: DataFrame, docs: DataFrame, percent: int) -> Da
     """
     sizes = clustered.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).alias("most"))
     dealt = cut(_dealt(clustered.join(cut(sizes), "cluster"), "cluster", F.col("most")))
-    texts = _filtered(docs.where(F.col("id").isNotNull()), dealt.select(F.col("id").alias("a"), F.col("id").alias("b")))
+    texts = _filtered(docs, dealt.select("id"))
     whole = dealt.join(texts, "id").select("g", "id", "component", "n", "own", "sketch", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,34 +298,51 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     side = side_size(percent)
     signed = cut(signatures(plain, side))
     sets = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    # classes of equal sets; the signature of a class is that of its least id
-    classes = cut(sets.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")))
-    reps = cut(sets.join(classes, ["n", "s1", "s2"]).where(F.col("id") == F.col("rep")).select("id", "n", "keys", "sketch").dropDuplicates(["id"]))
-    left, right = F.slice("keys", 1, side), F.slice("keys", side + 1, side)
+    # classes of equal sets, which have equal signatures
+    grouped = signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "s1", "s2")
+    reps = cut(grouped.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
 
     # first pass: diagonal tables, one leader each
-    diagonal = reps.select("id", "n", F.explode(F.zip_with(left, right, lambda x, y: F.xxhash64(x, y))).alias("key"))
+    left, right = F.slice("keys", 1, side), F.slice("keys", side + 1, side)
+    diagonal = reps.select("id", F.explode(F.zip_with(left, right, lambda x, y: F.xxhash64(x, y))).alias("key"))
     leaders = diagonal.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead")
-    met = diagonal.select("key", "id").join(cut(leaders), "key").where("id > lead").groupBy("id").agg(F.min("lead").alias("lead"))
+    met = diagonal.join(cut(leaders), "key").where("id > lead").groupBy("id").agg(F.min("lead").alias("lead"))
     counted = reps.select("id", "n")
     pairs = met.join(counted, "id").join(counted.select(F.col("id").alias("lead"), F.col("n").alias("m")), "lead")
     pairs = cut(pairs.where(_similar_size(F.col("n"), F.col("m"), percent)).select(F.col("id").alias("a"), F.col("lead").alias("b")))
     links = confirm(pairs, plain, percent)
-    found = connected_components(links)
-
-    # second pass: all tables, buckets of several components
-    named = cut(reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "keys", "sketch", F.coalesce("component", "id").alias("component")))
-    tensor = F.flatten(F.transform(left, lambda x, i: F.transform(right, lambda y, j: F.xxhash64(x, y, i * side + j))))
-    several = named.select("component", F.explode(tensor).alias("key")).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-    several = cut(several)
-    few = several.count() <= BROADCAST_KEYS
-    members = named.select("id", "n", "component", F.explode(tensor).alias("key")).join(F.broadcast(several) if few else several, "key")
-    described = named.select("id", "sketch")
-    clusters = _clusters(members.join(described, "id"), percent).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    more = _confirm_clusters(named.select("id", "component", "n", "sketch").join(clusters, "id"), plain, percent)
+    # a label for each class that has a link: what it is linked to; equal labels are one component
+    labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+
+    # second pass: all tables, buckets of several labels
+    labelled = cut(reps.join(labels, "id", "left").select("id", "n", "keys", "sketch", F.coalesce("label", "id").alias("component")))
+
+    def every_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keys = _all_keys(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))), pa.array(keys.ravel())], names=["component", "key"])
+
+    in_buckets = labelled.select("component", "keys").mapInArrow(every_key, "component long, key long")
+    several = cut(in_buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size"))
+    bits = _bit_map(several.select("key"))
+
+    def some_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keys = _all_keys(part.column(4))
+                row, place = np.nonzero(_in_map(bits, keys))
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns[:4], pa.array(keys[row, place])], names=["id", "n", "component", "sketch", "key"])
+
+    members = labelled.select("id", "n", "component", "sketch", "keys").mapInArrow(some_keys, "id long, n long, component long, sketch binary, key long").join(several, "key")
+    clusters = _clusters(members, percent).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    more = _confirm_clusters(labelled.select("id", "component", "n", "sketch").join(clusters, "id"), plain, percent)
     final = connected_components(links.unionByName(more))
 
-    named_classes = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    named_classes = reps.select("id", "n", "s1", "s2").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n", "s1", "s2").join(named_classes, ["n", "s1", "s2"], "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
