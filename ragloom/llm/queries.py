@@ -18,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_neardup import near_duplicates
 
@@ -42,6 +48,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+#: Seed of the production mix, in which every source has the same weight and the size stays.
+MIX_SEED = 20_240_607
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mixing import shuffled, source_rates, with_copies
+
+    docs = table(spark, sf_dir, "documents")
+    return shuffled(with_copies(docs, source_rates(docs), MIX_SEED), MIX_SEED).drop("mix_rate")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media_png import media_columns, media_features
 
@@ -67,9 +84,12 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op2_minhash_neardup, op3_token_counts, op4_lm_scoring, op5_language_id, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup]
+    named = [op1_license_scan, op2_minhash_neardup, op3_token_counts, op4_lm_scoring, op5_language_id, op6_source_mixing, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .license_scan import oracle
+    from .source_mixing import oracle as mix_oracle
+
+    return {"op1_license_scan": oracle(), "op6_source_mixing": mix_oracle(MIX_SEED)}

@@ -88,7 +88,7 @@ def shuffled(copies: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
     n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # the hash is uniform, so fixed ranges of its first bits are even, without a pass that samples the rows
     part = (F.conv(F.substring("mix_key", 1, 7), 16, 10).cast("long") * n / (1 << 28)).cast("int")
-    return keyed.repartitionById(n, part).sortWithinPartitions("mix_key") if hasattr(keyed, "repartitionById") else keyed.repartitionByRange(n, "mix_key").sortWithinPartitions("mix_key")
+    return keyed.repartitionById(n, part).sortWithinPartitions("mix_key")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -98,3 +98,30 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
     own_id, own_source = f"c{names.index(id_col)}", f"c{names.index(source_col)}"
     copies = with_copies(plain, source_rates(plain, weights, total, source_col=own_source), seed, own_id, own_source)
     return shuffled(copies, seed, own_id).select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)))
+
+
+def oracle(seed: int) -> str:
+    """DuckDB SQL for the equal-weight mix of `documents` at its own size, rows in any order.
+
+    The distribution of each source is tabulated; a draw is the number of entries under its uniform number.
+    """
+    number = "(('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
+    draw = number.format(f"'{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || k")
+    return f"""
+WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS mix_source, count(*)::DOUBLE AS size FROM documents GROUP BY 1),
+rates AS (SELECT mix_source, 1.0 / (SELECT count(*)::DOUBLE FROM sizes) * (SELECT sum(size) FROM sizes) / size AS rate FROM sizes),
+pieces AS (SELECT mix_source, rate, greatest(ceil(rate / {SPLIT}), 1)::INTEGER AS pieces, rate / greatest(ceil(rate / {SPLIT}), 1) AS r FROM rates),
+walk(mix_source, r, k, p, total) AS (
+  SELECT mix_source, r, 0, exp(-r), exp(-r) FROM pieces
+  UNION ALL SELECT mix_source, r, k + 1, p * r / (k + 1), total + p * r / (k + 1) FROM walk WHERE k + 1 < {STEPS}),
+tables AS (SELECT mix_source, list(total ORDER BY k) AS totals FROM walk GROUP BY 1),
+draws AS (
+  SELECT d.*, t.totals, generate_series(1, p.pieces) AS ks
+  FROM documents d JOIN pieces p ON coalesce(d.source, '') = p.mix_source JOIN tables t USING (mix_source)),
+counted AS (
+  SELECT * EXCLUDE (totals, ks), list_sum(list_transform(ks, lambda k: len(list_filter(totals, lambda t: t < {draw}))))::INTEGER AS mix_count FROM draws),
+copies AS (SELECT *, unnest(generate_series(1, mix_count))::INTEGER AS mix_copy FROM counted WHERE mix_count > 0)
+SELECT doc_id, text, lang, source, n_chars, mix_count, mix_copy,
+  substr(md5('order{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || mix_copy), 1, 16) AS mix_key
+FROM copies
+"""
