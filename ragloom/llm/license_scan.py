@@ -110,10 +110,11 @@ def license_matches(docs: DataFrame, texts: dict[str, str] | None = None, percen
     lookup = spark.createDataFrame(keys, "key long, license string")
     described = spark.createDataFrame([(r["license"], r["n_shingles"], [tuple(s) for s in r["shingles"]]) for r in table], "license string, n_template int, shingles array<struct<a:string,b:string,c:string,d:string,e:string>>")
 
-    plain = pick(docs, id_col, text_col).toDF("id", "text").withColumn("row", F.monotonically_increasing_id())
+    plain = pick(docs, id_col, text_col).toDF("id", "text")
     banded = _with_keys(plain.withColumn("words", words_of(F.col("text"))), STRIDE)
     hits = F.array_distinct(F.concat(F.array_intersect("hashes", known), F.array_intersect("keys", known)))
-    hit = banded.select("id", "row", "text", hits.alias("hits")).where(F.size("hits") > 0)
+    # the row number, not being deterministic, keeps the filter above this step: below, its arrays would be made in lambdas
+    hit = banded.select("id", "text", hits.alias("hits"), F.monotonically_increasing_id().alias("row")).where(F.size("hits") > 0)
     # few rows are left; the texts are compared as words
     told = hit.withColumn("words", words_of(F.col("text"))).select("id", "row", F.array_distinct(shingles_of(F.col("words"))).alias("own"), "hits")
     retrieved = told.select("id", "row", "own", F.explode("hits").alias("key")).join(F.broadcast(lookup), "key").join(F.broadcast(described), "license")
