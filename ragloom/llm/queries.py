@@ -83,8 +83,14 @@ def op10_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9, recall=0.99)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_license_scan, op2_minhash_neardup, op3_token_counts, op4_lm_scoring, op5_language_id, op6_source_mixing, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup]
+    named = [op1_license_scan, op2_minhash_neardup, op3_token_counts, op4_lm_scoring, op5_language_id, op6_source_mixing, op7_media_columns, op8_bpe_roundtrip, op9_html_extract, op10_embedding_neardup, pipeline]
     return {f.__name__: f for f in named}
 
 
