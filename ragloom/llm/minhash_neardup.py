@@ -70,7 +70,7 @@ def minimum_hashes(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray
 
 def _small_keys(minima: np.ndarray) -> np.ndarray:
     """The keys of both sides, each of ROWS minima."""
-    parts = minima.astype(np.uint64).reshape(-1, ROWS, minima.shape[1])
+    parts = minima.astype(np.uint64).reshape(len(minima) // ROWS, ROWS, minima.shape[1])
     key = np.arange(len(parts), dtype=np.uint64)[:, None] + np.zeros((1, parts.shape[2]), np.uint64)
     for k in range(ROWS):
         key = mix(key ^ parts[:, k])
@@ -129,7 +129,7 @@ def _bit_map(hashes: DataFrame) -> np.ndarray:
 
 
 def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.astype(np.int64) & (FILTER_BITS - 1)
+    at = hashes.astype(np.int64) & (32 * len(bits) - 1)
     return bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1) > 0
 
 
