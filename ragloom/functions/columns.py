@@ -94,3 +94,23 @@ def ensure_json_word(text: Column) -> Column:
 
 def model_family(model: Column) -> Column:
     return F.when(model.rlike("(?i)^(o[134]|gpt-5)"), "reasoning").otherwise("chat")
+
+
+def tool_arguments(text: Column) -> Column:
+    """JSON of a tool call's arguments: as given if it parses, else as a JSON string."""
+    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"(\\|\")", r"\\$1"), "\n", r"\\n"), F.lit('"')))
+
+
+def tool_choice(kind: Column, name: Column) -> Column:
+    """auto, none and required by their names; any other kind names a function."""
+    return F.when(F.lower(kind).isin("auto", "none", "required"), F.lower(kind)).otherwise(F.to_json(F.struct(F.lit("function").alias("type"), F.struct(name.alias("name")).alias("function"))))
+
+
+def input_type(kind: Column) -> Column:
+    """A provider's name for what is embedded; documents by default."""
+    return F.when(F.lower(kind) == "query", "search_query").when(F.lower(kind) == "classification", "classification").when(F.lower(kind) == "clustering", "clustering").otherwise("search_document")
+
+
+def total_tokens(*counts: Column) -> Column:
+    """Sum of counts, nulls being none; null if all are."""
+    return F.when(F.coalesce(*counts).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in counts), F.lit(0)).cast("long"))

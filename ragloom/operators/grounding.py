@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import strip_code_fence
@@ -87,3 +87,25 @@ def judge(rows: DataFrame, provider: Provider, kind: str) -> DataFrame:
     raw = rows.mapInPandas(run, f"query_id {kind_of_id}, raw string")
     parsed = raw.withColumn("j", F.from_json(strip_code_fence(F.col("raw")), "score double, rationale string"))
     return parsed.select("query_id", F.least(F.greatest("j.score", F.lit(0.0)), F.lit(1.0)).alias("score"), F.coalesce("j.rationale", F.lit("")).alias("rationale"))
+
+
+def grounding_documents(chunks: DataFrame) -> DataFrame:
+    """id (document and chunk), text, source and title of chunks with metadata."""
+    found = lambda k: F.try_element_at("metadata", F.lit(k))
+    return chunks.select(F.concat_ws("_", "document_id", "chunk_index").alias("id"), "text", F.coalesce(found("source"), F.col("document_id")).alias("source"), found("title").alias("title"))
+
+
+def block_offsets(blocks: DataFrame) -> DataFrame:
+    """blocks (request_id, seq, text) with start_offset and end_offset of each in the texts joined in order, in code points."""
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return blocks.withColumn("start_offset", before.cast("int")).withColumn("end_offset", (F.col("start_offset") + F.length("text")).cast("int"))
+
+
+def split_for_limit(text: str, limit: int = 65_536) -> list[str]:
+    """Parts of at most `limit` characters for a remote counter: each ends after its last white space, if it has any."""
+    parts, at = [], 0
+    while len(text) - at > limit:
+        cut = next((k for k in range(at + limit - 1, at, -1) if text[k].isspace()), at + limit - 1) + 1
+        parts.append(text[at:cut])
+        at = cut
+    return [*parts, text[at:]] if at < len(text) else parts

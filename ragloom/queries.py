@@ -271,3 +271,15 @@ def rerank_offline(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
     ranked = turns.select(F.col("conv_id").alias("query_id"), F.lit("the of and").alias("query"), F.col("turn").cast("int").alias("rank"), "text")
     return retrieval.rerank(ranked, OfflineProvider()).select("query_id", "rank", "rerank_pos", "relevance")
+
+
+@query("SELECT conv_id AS request_id, turn AS seq, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start_offset, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS end_offset FROM conversations")
+def block_offsets(spark, sf_dir):
+    blocks = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text")
+    return grounding.block_offsets(blocks).drop("text")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props ELSE '\"' || event_type || '\"' END AS arguments FROM events")
+def tool_arguments(spark, sf_dir):
+    given = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_type"))
+    return _table(spark, sf_dir, "events").select("event_id", C.tool_arguments(given).alias("arguments"))

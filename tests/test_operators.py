@@ -120,6 +120,18 @@ def test_json_and_citations(spark):
     assert [r[0] for r in message.select(C.is_transient(F.col("m"))).collect()] == [True, False, False, False]
 
 
+def test_small_functions(spark):
+    from ragloom.operators.grounding import grounding_documents, split_for_limit
+
+    row = spark.range(1).select(C.input_type(F.lit("Query")).alias("a"), C.input_type(F.lit(None)).alias("b"), C.total_tokens(F.lit(2), F.lit(None), F.lit(3)).alias("c"), C.tool_choice(F.lit("Auto"), F.lit("x")).alias("d"), C.tool_choice(F.lit("f"), F.lit("x")).alias("e"), C.tool_arguments(F.lit('say "hi"')).alias("f"), C.strip_code_fence(F.lit("```json\n{}\n```")).alias("g"), C.ensure_json_word(F.lit("json please")).alias("h")).first()
+    assert row[:5] == ("search_query", "search_document", 5, "auto", '{"type":"function","function":{"name":"x"}}') and row[5] == '"say \\"hi\\""' and row[6:] == ("{}", "json please")
+    text = "some words " * 30 + "x" * 50
+    parts = split_for_limit(text, 20)
+    assert "".join(parts) == text and all(len(p) <= 20 for p in parts)
+    chunk = spark.range(1).select(F.lit("d").alias("document_id"), F.lit(3).alias("chunk_index"), F.lit("t").alias("text"), F.create_map(F.lit("title"), F.lit("T")).alias("metadata"))
+    assert tuple(grounding_documents(chunk).first()) == ("d_3", "t", "d", "T")
+
+
 def test_streams(spark, tmp_path):
     lines = spark.createDataFrame([("r", 0, 'data: {"delta":"Hel"}'), ("r", 1, "event: x"), ("r", 2, "data: {bad"), ("r", 3, 'data: {"delta":"lo"}'), ("r", 4, "data: [DONE]"), ("r", 5, 'data: {"delta":"!"}')], "request_id string, seq int, line string")
     assert stores.assemble_answers(stores.sse_data(lines)).collect()[0]["answer"] == "Hello"
