@@ -29,10 +29,15 @@ def _wide(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Dot product in double precision, given as a float; unequal lengths are an error."""
+def dot_double(a: Column, b: Column) -> Column:
+    """Dot product in double precision; unequal lengths are an error."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.when(same_length(a, b).isNull(), total).cast("float")
+    return F.when(same_length(a, b).isNull(), total)
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Dot product in double precision, given as a float."""
+    return dot_double(a, b).cast("float")
 
 
 def squares(v: Column) -> Column:
