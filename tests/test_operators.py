@@ -70,6 +70,24 @@ def test_vectors(spark):
         rows.select(C.dot(F.col("embedding"), F.array(F.lit(1.0)))).collect()
 
 
+def test_more_queries_than_are_broadcast(spark):
+    """Blocks of queries give the scores that brute force gives."""
+    import numpy as np
+
+    n = 2 * retrieval.BROADCAST_QUERIES + 345
+    rng = np.random.default_rng(1)
+    wanted, held = rng.integers(-3, 4, (n, 4)).astype(np.float32), rng.integers(-3, 4, (12, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist(), {"k": "x"}) for k, v in enumerate(held)], "name int, embedding array<float>, metadata map<string,string>")
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(wanted)], "query_id int, query_vector array<float>")
+    size = np.linalg.norm(wanted.astype(float), axis=1)[:, None] * np.linalg.norm(held.astype(float), axis=1)
+    score = np.divide(wanted.astype(float) @ held.T.astype(float), size, out=np.zeros_like(size), where=size > 0).astype(np.float32)
+    got = retrieval.retrieve(q, rows, ["name"], RetrievalOptions(3)).collect()
+    assert len(got) == 3 * n
+    for r in got:
+        assert r["score"] == pytest.approx(-np.sort(-score[r["query_id"]])[r["rank"] - 1], abs=1e-6)
+        assert r["score"] == pytest.approx(score[r["query_id"], r["name"]], abs=1e-6)
+
+
 def test_fusion(spark):
     rows = spark.createDataFrame([(1, 0, 1, "d0"), (1, 0, 2, "d1"), (1, 0, 3, "d0"), (1, 1, 1, "d0"), (1, 1, 2, "d2")], "query_id int, list_id int, rank int, item string")
     got = {r["item"]: r["score"] for r in retrieval.reciprocal_rank_fusion(rows, ["item"]).collect()}
