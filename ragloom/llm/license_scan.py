@@ -6,14 +6,16 @@ covered by windows at every place. Each window has BANDS keys, a minimum hash ea
 with a template's retrieves the template. A copied passage of WINDOW + STRIDE shingles holds a window of the text
 that equals one of the template, so it is retrieved with certainty; a window of similarity s to its counterpart with
 probability 1 - (1 - s)^BANDS, which is 0.984 at a half, and a template has many. Templates under WINDOW shingles are
-retrieved by windows of one shingle, whose keys are all the same: any shared shingle retrieves them.
+retrieved by windows of one shingle, whose keys are all the same: any shared shingle retrieves them. A template under
+five words is one shingle of its whole length, retrieved and compared by the text's windows of that many words.
 
 A retrieved template matches if the text holds `percent` per cent of its distinct shingles, compared as words.
 
 What is sent to the workers are the templates' keys, a few thousand whatever the input. No shuffle but the last one,
 which removes repeated matches of a template in one row and carries ids and numbers only.
 
-Defined results: a null or empty text, and one under five words, matches nothing. Only matches are returned: per row
+Defined results: a null or empty text matches nothing, and one under five words only templates under five words. The
+production list holds none of those (NOTICES are a list of their own), as the SQL beside it drops them. Only matches are returned: per row
 of the input and template one row; rows repeated in the input give repeated matches. A null id stays null.
 """
 
@@ -44,6 +46,10 @@ TEXTS = {
 }
 
 
+# Notices under five words, to be given beside templates().
+NOTICES = {"notice rights reserved": "All rights reserved"}
+
+
 def templates() -> dict[str, str]:
     """Template texts by name: the fixed ones, and one-line notices of license families by version."""
     out = dict(TEXTS)
@@ -71,6 +77,21 @@ def shingles_of(words: Column) -> Column:
     return F.transform(_places(words), lambda i: F.struct(*(F.get(words, i + k) for k in range(WORDS))))
 
 
+def _short_windows(words: Column, n: int, of: Callable[[list[Column]], Column]) -> Column:
+    """`of` applied to each run of n words."""
+    places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: of([F.get(words, i + k) for k in range(n)]))
+
+
+def _filled(run: list[Column]) -> Column:
+    """A run under five words as a shingle: the items that it lacks are null."""
+    return F.struct(*(w.alias(f"col{k + 1}") for k, w in enumerate(run + [F.lit(None).cast("string")] * (WORDS - len(run)))))
+
+
+def _short_keys(run: list[Column]) -> Column:
+    return F.xxhash64(F.lit(-len(run)), *run)
+
+
 def _with_keys(rows: DataFrame, stride: int) -> DataFrame:
     """Columns hashes (of all shingles of the column words) and keys (of all windows, for all bands).
 
@@ -94,11 +115,15 @@ def _minima(hashes: Column, stride: int) -> Column:
 
 
 def template_table(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """license, n_shingles, shingles (distinct, as words), keys (band keys of all windows, or shingle hashes if short)."""
+    """license, n_shingles, shingles (distinct, as words), keys (band keys of all windows, or shingle hashes if short), n_words."""
     rows = spark.createDataFrame(sorted(texts.items()), "license string, template string")
     rows = _with_keys(rows.withColumn("words", words_of(F.col("template"))), 1).withColumn("shingles", F.array_distinct(shingles_of(F.col("words"))))
     keys = F.array_distinct(F.when(F.size("hashes") >= WINDOW, F.col("keys")).otherwise(F.col("hashes")))
-    return rows.where(F.size("shingles") > 0).select("license", F.size("shingles").alias("n_shingles"), "shingles", keys.alias("keys"))
+    for n in range(1, WORDS):  # the whole of a template of n words
+        whole = F.size("words") == n
+        rows = rows.withColumn("shingles", F.when(whole, _short_windows(F.col("words"), n, _filled)).otherwise(F.col("shingles")))
+        keys = F.when(whole, _short_windows(F.col("ids"), n, _short_keys)).otherwise(keys)
+    return rows.where(F.size("shingles") > 0).select("license", F.size("shingles").alias("n_shingles"), "shingles", keys.alias("keys"), F.size("words").alias("n_words"))
 
 
 def license_matches(docs: DataFrame, texts: dict[str, str] | None = None, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,14 +134,18 @@ def license_matches(docs: DataFrame, texts: dict[str, str] | None = None, percen
     known = F.array(*(F.lit(k) for k in sorted({k for k, _ in keys}))) if keys else F.array().cast("array<long>")
     lookup = spark.createDataFrame(keys, "key long, license string")
     described = spark.createDataFrame([(r["license"], r["n_shingles"], [tuple(s) for s in r["shingles"]]) for r in table], "license string, n_template int, shingles array<struct<a:string,b:string,c:string,d:string,e:string>>")
+    lengths = sorted({r["n_words"] for r in table if r["n_words"] < WORDS})
 
     plain = pick(docs, id_col, text_col).toDF("id", "text")
     banded = _with_keys(plain.withColumn("words", words_of(F.col("text"))), STRIDE)
-    hits = F.array_distinct(F.concat(F.array_intersect("hashes", known), F.array_intersect("keys", known)))
+    for n in lengths:
+        banded = banded.withColumn(f"short{n}", _short_windows(F.col("ids"), n, _short_keys))
+    hits = F.array_distinct(F.concat(*(F.array_intersect(c, known) for c in ("hashes", "keys", *(f"short{n}" for n in lengths)))))
     # the row number, not being deterministic, keeps the filter above this step: below, its arrays would be made in lambdas
     hit = banded.select("id", "text", hits.alias("hits"), F.monotonically_increasing_id().alias("row")).where(F.size("hits") > 0)
     # few rows are left; the texts are compared as words
-    told = hit.withColumn("words", words_of(F.col("text"))).select("id", "row", F.array_distinct(shingles_of(F.col("words"))).alias("own"), "hits")
+    own = F.concat(shingles_of(F.col("words")), *(_short_windows(F.col("words"), n, _filled) for n in lengths))
+    told = hit.withColumn("words", words_of(F.col("text"))).select("id", "row", F.array_distinct(own).alias("own"), "hits")
     retrieved = told.select("id", "row", "own", F.explode("hits").alias("key")).join(F.broadcast(lookup), "key").join(F.broadcast(described), "license")
     shared = F.size(F.array_intersect("own", F.transform("shingles", lambda s: F.struct(*(s[c].alias(f"col{k + 1}") for k, c in enumerate("abcde"))))))
     compared = retrieved.select("id", "row", "license", "n_template", shared.alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_template") * percent)
@@ -125,7 +154,10 @@ def license_matches(docs: DataFrame, texts: dict[str, str] | None = None, percen
 
 
 def oracle(texts: dict[str, str] | None = None, percent: int = 80) -> str:
-    """DuckDB SQL for license_matches over `documents`: every text against every template, without windows and bands."""
+    """DuckDB SQL for license_matches over `documents`: every text against every template, without windows and bands.
+
+    It has no shingles of templates under five words, so it agrees for lists without them.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in sorted((templates() if texts is None else texts).items()))
     words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'), lambda w: w <> '')"

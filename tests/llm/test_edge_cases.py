@@ -1,5 +1,7 @@
 """Every operator and pipeline stage on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ragloom.llm.embedding_neardup import vector_near_duplicates
 from ragloom.llm.html_extract import extract_main_text
 from ragloom.llm.kneser_ney import train_and_score
 from ragloom.llm.language_id import document_languages, page_languages
-from ragloom.llm.license_scan import license_matches
+from ragloom.llm.license_scan import NOTICES, license_matches, templates
 from ragloom.llm.media_png import media_columns, media_features
 from ragloom.llm.minhash_neardup import near_duplicates
 from ragloom.llm.queries import vocabulary
@@ -99,6 +101,19 @@ def test_licenses(docs, empty):
     assert set(got) == {9} and got[9][0]["license"] == "notice MIT" and got[9][0]["containment"] == 1.0
 
 
+def test_short_notices(spark):
+    """A template under five words is found as a run of words, in long texts and short ones, and nowhere else."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    fixed = [(-1, "ALL RIGHTS reserved."), (-2, "all rights"), (-3, "All the rights reserved"), (-4, None), (-5, "x " * 40 + "all rights reserved"), (-6, "fall rights reserved a b c")]
+    docs = docs.unionByName(spark.createDataFrame(fixed, docs.schema))
+    want = {r["doc_id"] for r in docs.collect() if re.search(r"(?i)(?<![^\W_])all[\W_]+rights[\W_]+reserved(?![^\W_])", r["text"] or "")}
+    found = license_matches(docs, templates() | NOTICES).collect()
+    got = [r for r in found if r["license"] in NOTICES]
+    assert {r["doc_id"] for r in got} == want and len(got) == len(want) > 2
+    assert all((r["n_template"], r["n_shared"], r["containment"]) == (1, 1, 1.0) for r in got)
+    assert {tuple(r) for r in found if r["license"] not in NOTICES} == {tuple(r) for r in license_matches(docs).collect()}
+
+
 def test_mixing(docs, empty):
     assert mix_sources(empty).count() == 0
     mixed = mix_sources(docs, seed=3)
