@@ -6,7 +6,12 @@ then passes points for its length and commas to its ancestors: all to the parent
 A container's points are discounted by its link density. The best container is kept, an article around it included,
 and those of its siblings that score well, hold plain paragraphs, or are headings. All that is left inside goes out.
 
-Defined results: null, empty or boilerplate-only pages give the empty text; markup that is cut off ends at the end of
+A form, and words in class and id, can also mark a wrapper of the whole page. Where neither an article nor a block of PROSE
+characters is kept, the outermost element that these rules alone dropped is kept after all, the one with most paragraph text first,
+until there is such a text or no such element.
+
+Defined results: null and empty pages, and those with boilerplate by element, role or hidden state only, give the empty
+text; markup that is cut off ends at the end of
 the page; repeated rows give repeated rows; of containers with equal points the first in the page wins.
 """
 
@@ -41,13 +46,20 @@ _BOILERPLATE = set(
     "ad ads advert advertisement advertising adverts adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription signup sidebar sidenav widget widgets related recommended recommendations nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer header comment comments commentlist disqus respond replies reply share sharing social login search form skip hidden outbrain taboola".split()
 )
 _TITLED = {"header", "masthead"}
+_PROSE_TAGS = {"p", "pre", "blockquote"}
+
+#: Characters from which a kept block looks like text of a page.
+PROSE = 80
+#: Wrappers that are tried one by one; then all are kept at once.
+ROUNDS = 8
 
 
 class _Node:
-    __slots__ = ("children", "commas", "drop", "link", "links", "order", "parent", "pieces", "points", "size", "tag")
+    __slots__ = ("children", "commas", "drop", "link", "links", "order", "parent", "pieces", "points", "size", "tag", "weak")
 
     def __init__(self, tag: str, parent: _Node | None, order: int, drop: bool):
         self.tag, self.parent, self.order, self.drop = tag, parent, order, drop
+        self.weak = False  # dropped by being a form, or by words in class and id, and by nothing else
         self.children: list[_Node | str] = []  # elements, and runs of text between them
         self.pieces: list[tuple[str, bool]] = []
         self.points = 0.0
@@ -126,6 +138,8 @@ def _tree(source: str) -> _Node:
                     articles -= _articles(here, node.parent)
                     here = node.parent
             continue
+        if tag in ("svg", "math") and m[0].endswith("/>"):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(source, at)
             close = source.find(">", end.end()) if end else -1
@@ -154,7 +168,8 @@ def _tree(source: str) -> _Node:
             continue
         order += 1
         attributes = _attributes(m[3] or "")
-        node = _Node(tag, here, order, here.drop or _is_boilerplate(tag, attributes, articles > 0))
+        node = _Node(tag, here, order, _is_boilerplate(tag, attributes, articles > 0))
+        node.weak = node.drop and not _is_boilerplate("div" if tag == "form" else tag, {k: v for k, v in attributes.items() if k not in ("class", "id")}, articles > 0)
         here.children.append(node)
         articles += tag in ("article", "main")
         here = node
@@ -196,8 +211,22 @@ def main_text(source: str | None) -> str:
     """The main text of a page: its blocks in page order, joined by one space."""
     if not source:
         return ""
-    top = _tree(source.replace("\0", ""))
+    cleaned = source.replace("\0", "")
+    kept: set[int] | None = set()  # orders of dropped wrappers that are kept after all
+    while True:
+        text, prose, wrapper = _scored_text(cleaned, kept)
+        if prose or wrapper is None or kept is None:
+            return text
+        kept = kept | {wrapper} if len(kept) < ROUNDS else None
+
+
+def _scored_text(source: str, kept: set[int] | None) -> tuple[str, bool, int | None]:
+    """The text, whether a block of PROSE characters is in it, and the order of the wrapper to keep next, if any."""
+    top = _tree(source)
     nodes = list(_walk(top))
+    for node in nodes:
+        node.drop = node.drop and not (node.weak and (kept is None or node.order in kept))
+    wrapper = _wrapper(nodes)
     for node in nodes:  # in page order: what is inside a dropped element is dropped
         node.drop = node.drop or bool(node.parent and node.parent.drop)
     own = {id(n): (n.size, n.commas) for n in nodes}
@@ -223,7 +252,7 @@ def main_text(source: str | None) -> str:
             above, level = above.parent, level + 1
     scored = [(n.points * (1 - n.link / max(1, n.size)), n) for n in nodes if not n.drop and n.points]
     if not scored:
-        return ""
+        return "", False, wrapper
     score = {id(n): s for s, n in scored}
     best = max(scored, key=lambda x: (x[0], -x[1].order))[1]
     node = best
@@ -252,7 +281,20 @@ def main_text(source: str | None) -> str:
                     keep.append(c)
     elif best.tag == "article" and best.parent:  # further articles beside it that hold text
         keep = [c for c in best.parent.children if c is best or not isinstance(c, str) and not c.drop and c.tag == "article" and score.get(id(c), 0.0) >= max(3.0, 0.2 * most)]
-    return " ".join(b for k in keep for b in ([k] if isinstance(k, str) else _blocks(k)))
+    blocks = [b for k in keep for b in ([k] if isinstance(k, str) else _blocks(k))]
+    return " ".join(blocks), best.tag in ("article", "main") or any(len(b) >= PROSE for b in blocks), wrapper
+
+
+def _wrapper(nodes: list[_Node]) -> int | None:
+    """Of the outermost dropped elements, that of most paragraph text (None without any), if it may be kept."""
+    outer: dict[int, _Node | None] = {}
+    held: dict[int, int] = {}
+    for node in nodes:  # in page order
+        above = outer[id(node.parent)] if node.parent else None
+        outer[id(node)] = above or (node if node.drop else None)
+        if (at := outer[id(node)]) and at.weak and (node.tag in _PROSE_TAGS or node.size >= PROSE):
+            held[at.order] = held.get(at.order, 0) + node.size
+    return max(held, key=lambda k: (held[k], -k), default=None)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

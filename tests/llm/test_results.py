@@ -263,6 +263,20 @@ def test_main_text(body, want):
     assert got == want or "<form>" in body and got == want.replace(" Sign up, now, please, to all of our letters, do.", "")
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<form id=aspnetForm><div>{P}{P}</div></form>",
+        f"<form><div class='content has-sidebar'><div>{P}{P}</div><div class=sidebar><ul><li><a href=x>More</a></ul></div></div></form>",
+        f"<nav>menu</nav><div class='page-with-comments'><article>{P}{P}</article><div id=comments>{P}{P}{P}</div></div><p>(c) us</p>",
+        f"<svg/><math/><div>{P}{P}</div>",
+    ],
+)
+def test_main_text_inside_a_marked_wrapper(body):
+    assert main_text(f"<html><body>{body}</body></html>") == f"{T} {T}"
+    assert main_text("<html><body><nav><p>" + T + "</p></nav><div role=search>" + P + "</div></body></html>") == ""
+
+
 def test_main_text_of_pages():
     """The pages' template states the text: the article."""
     import html
