@@ -18,17 +18,22 @@ NEAR_PERCENT = 80
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among the ids (a checkpoint); rows without an id stay.
+#: Name of the column that numbers the rows of a stage's input.
+ROW = "_row"
+
+
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not among the ids (a checkpoint); rows without a key stay.
 
     The ids are broadcast if they are counted to be few, so that the texts needn't be shuffled.
     """
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages of the labelled documents."""
-    return _without(docs, cut(document_languages(docs).where(~F.col("accepted")).select("doc_id")))
+    """Documents whose text is in one of the languages of the labelled documents; each row by its own text."""
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    return _without(rows, cut(document_languages(rows, ROW).where(~F.col("accepted")).select(ROW)), ROW).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,8 +203,11 @@ def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     return identify(rows, fit_text_model(pick(labelled, "doc_id", "lang", "text").toDF("id", "lang", "text")), main_text).withColumnRenamed("id", "page_id")
 
 
-def document_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, confidence, accepted, n_trigrams of each document; its source is the host, its lang the declaration."""
-    plain = pick(docs, "doc_id", "lang", "text", "source")
-    rows = plain.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
-    return identify(rows, fit_text_model(plain.select(F.col("doc_id").alias("id"), "lang", "text"))).withColumnRenamed("id", "doc_id").drop("host", "declared")
+def document_languages(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, lang, confidence, accepted, n_trigrams of each document; its source is the host, its lang the declaration.
+
+    key: the column that names a row in the result. The sample of labelled texts is always taken by doc_id.
+    """
+    plain = pick(docs, "doc_id", "lang", "text", "source", key).toDF("id", "lang", "text", "source", "key")
+    rows = plain.select(F.col("key").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    return identify(rows, fit_text_model(plain.select("id", "lang", "text"))).withColumnRenamed("id", key).drop("host", "declared")

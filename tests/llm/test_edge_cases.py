@@ -158,3 +158,13 @@ def test_stages(stage, spark, docs, empty):
     if stage == 1:
         ids = [r["doc_id"] for r in rows]
         assert sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 7, 8, 9] and ids.count(None) == 2
+
+
+def test_language_stage_decides_by_row(spark):
+    """A rejected row leaves without an id too, and takes no other row of its id with it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = docs.first()["doc_id"]
+    junk = [(k, "漢字" * 60, None, "s", 120) for k in (one, None)]
+    out = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(junk, COLUMNS)), "")
+    assert out.where("text like '漢字漢字%'").count() == 0
+    assert out.where(F.col("doc_id") == one).count() == 1 and out.count() == docs.count()
