@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm.bpe_trie import bpe_digests
-from ragloom.llm.common import cut
+from ragloom.llm.common import cut, new_shared_path
 from ragloom.llm.language_id import document_languages
 from ragloom.llm.minhash_neardup import near_duplicates
 from ragloom.llm.queries import MIX_SEED, vocabulary
@@ -67,10 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written to the shared folder and read again."""
+    """All stages over `documents`; each stage's rows are written to the shared folder as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs)
+            path = new_shared_path(spark, "stage")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -168,3 +168,16 @@ def test_language_stage_decides_by_row(spark):
     out = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(junk, COLUMNS)), "")
     assert out.where("text like '漢字漢字%'").count() == 0
     assert out.where(F.col("doc_id") == one).count() == 1 and out.count() == docs.count()
+
+
+def test_stages_meet_in_parquet(spark, monkeypatch):
+    """What a stage reads are Parquet files that the one before has written."""
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert all(f and all("parquet" in x for x in f) for f in read) and not set(read[1]) & set(read[0] + read[2])
