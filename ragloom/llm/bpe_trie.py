@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -29,12 +31,22 @@ from .common import pick, ship, text_slices
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
-#: Words whose encodings a worker keeps, in each of two generations.
-KEPT_WORDS = 60_000
+
+def _latin_pattern() -> str:
+    """The same pattern for texts of code points under 256, its classes written out, which the standard library matches faster."""
+    chars = [chr(k) for k in range(256)]
+    letters, numbers, spaces = ("".join(f"\\x{ord(c):02x}" for c in chars if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}", f"[{_SPACE}]"))
+    return rf" ?[{letters}]+| ?[{numbers}]+|'(?:[stmd]|re|ve|ll)| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+
+
+#: Words whose encodings a worker keeps; beyond, it forgets all but those of the texts at hand.
+KEPT_WORDS = 300_000
 #: Pairs of tokens of which a worker knows whether they stay apart.
 KEPT_PAIRS = 400_000
 #: Words longer than this are encoded but not kept.
 KEPT_LENGTH = 64
+#: Bytes of text whose distinct words make one trie.
+SLICE_BYTES = 4 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -71,8 +83,9 @@ class TrieBpe:
         self._build_automaton()
         self.special = special
         self.split = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.words = regex.compile(PATTERN)
-        self.kept: tuple[dict, dict] = ({}, {})
+        self.words, self.latin_words = regex.compile(PATTERN), re.compile(_latin_pattern())
+        self.written: dict[str, str] = {}  # ids of known words, joined by commas
+        self.read: dict[str, bytes] = {}  # what these ids decode to
 
     def _build_automaton(self) -> None:
         """States are beginnings of tokens; ends[state]: the tokens that end there with their lengths, longest first."""
@@ -123,26 +136,33 @@ class TrieBpe:
                     return False
         return True
 
-    def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
-        """Each distinct word with its tokens, in the order of a depth-first walk through the words' trie."""
-        apart, step, ends, fail = self.apart, self.step, self.ends, self.fail
+    def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, str, bytes]]:
+        """Each distinct word, its tokens joined by commas, and what they decode to, by a depth-first walk of the words' trie.
+
+        Text and decoded bytes of a prefix are kept along the path up to KEPT_LENGTH bytes; what lies beyond is read off the last tokens.
+        """
+        apart, step, ends, fail, bytes_of = self.apart, self.step, self.ends, self.fail, self.bytes_of
         last: list[int] = [-1]  # last token of the path's prefix of each length
         size: list[int] = [0]
         states: list[int] = [0]
+        texts: list[str] = [""]
+        raws: list[bytes] = [b""]
         path = b""
         for word in sorted(words):
-            depth, most = 0, min(len(path), len(word))
-            if path[:most] == word[:most]:
-                depth = most
-            else:
-                while path[depth] == word[depth]:
-                    depth += 1
-            del last[depth + 1 :], size[depth + 1 :], states[depth + 1 :]
+            depth = min(len(path), len(word))
+            if depth <= KEPT_LENGTH:
+                while path[:depth] != word[:depth]:
+                    depth -= 1
+            elif path[:depth] != word[:depth]:
+                depth = next(k for k in range(depth) if path[k] != word[k])
+            del last[depth + 1 :], size[depth + 1 :], states[depth + 1 :], texts[depth + 1 :], raws[depth + 1 :]
             path, state = word, states[depth]
             for end in range(depth + 1, len(word) + 1):
-                byte = word[end - 1]
-                while (after := step.get(state << 8 | byte)) is None:
-                    state = fail[state]
+                key = state << 8 | word[end - 1]
+                after = step.get(key)
+                if after is None:
+                    while (after := step.get(state << 8 | key & 255)) is None:
+                        state = fail[state]
                 state = after
                 for token, n in ends[state]:
                     if n == end:
@@ -158,60 +178,70 @@ class TrieBpe:
                 last.append(token)
                 size.append(n)
                 states.append(state)
+                if end <= KEPT_LENGTH:
+                    texts.append(f"{texts[end - n]},{token}" if n < end else str(token))
+                    raws.append(raws[end - n] + bytes_of[token])
+            if len(word) <= KEPT_LENGTH:
+                yield word, texts[-1], raws[-1]
+                continue
             ids, at = [], len(word)
             while at:
                 ids.append(last[at])
                 at -= size[at]
-            yield word, ids[::-1]
+            yield word, ",".join(map(str, reversed(ids))), self.decode(reversed(ids))
+
+    def _plain_words(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.words.findall(text)
+        return self.latin_words.findall(text)
 
     def pre_tokenize(self, text: str) -> list[str]:
         """The words of a text; special strings are words of their own."""
         if not self.split or not self.split.search(text):
-            return self.words.findall(text)
+            return self._plain_words(text)
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += self.words.findall(text, at, m.start()) if m.start() > at else []
+            out += self._plain_words(text[at : m.start()])
             out.append(m[0])
             at = m.end()
-        return out + (self.words.findall(text[at:]) if at < len(text) else [])
+        return out + self._plain_words(text[at:])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        split, ids = self._known(texts)
-        return [[i for w in words for i in ids[w]] for words in split]
+    def _encoded(self, words: set[str]) -> Iterator[tuple[str, str, bytes]]:
+        """Each distinct word, special strings among them, with its tokens and what they decode to."""
+        for w in words & self.special.keys():
+            yield w, str(self.special[w]), self.bytes_of[self.special[w]]
+        plain = {w.encode(): w for w in words if w not in self.special}
+        for raw, ids, read in self.encode_words(plain):
+            yield plain[raw], ids, read
 
-    def _known(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple[int, ...]]]:
-        """The words of each text, and the tokens of each distinct word."""
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [self.pre_tokenize(t) for t in texts]
-        new, old = self.kept
-        known, missing = {}, {}
-        for w in set().union(*split):
-            found = new.get(w) or old.get(w)
-            if found:
-                known[w] = found
-            elif w in self.special:
-                known[w] = (self.special[w],)
-            else:
-                missing[w.encode()] = w
-        for raw, ids in self.encode_words(missing):
-            known[missing[raw]] = tuple(ids)
-        new.update((w, x) for w, x in known.items() if len(w) <= KEPT_LENGTH)
-        if len(new) > KEPT_WORDS:
-            self.kept = {}, new
-        return split, known
+        ids = {w: [int(x) for x in text.split(",")] for w, text, _ in self._encoded(set().union(*split))}
+        return [list(chain.from_iterable(map(ids.__getitem__, words))) for words in split]
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-        split, known = self._known(texts)
-        count = {w: len(ids) for w, ids in known.items()}
-        written = {w: ",".join(map(str, ids)) for w, ids in known.items()}
-        read = {w: self.decode(ids) for w, ids in known.items()}
-        for words in split:
-            decoded = b"".join(map(read.__getitem__, words)).decode("utf-8", "replace")
-            joined = ",".join(map(written.__getitem__, words))
-            yield sum(map(count.__getitem__, words)), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        split = [self.pre_tokenize(t) for t in texts]
+        words = set().union(*split)
+        if len(self.written) + len(words) > KEPT_WORDS:
+            self.written = {w: self.written[w] for w in words & self.written.keys()}
+            self.read = {w: self.read[w] for w in self.written}
+        written, read = self.written, self.read
+        missing = words - written.keys()
+        for w, ids, raw in self._encoded(missing):
+            written[w], read[w] = ids, raw
+        for own in split:
+            joined = ",".join(map(written.__getitem__, own))
+            decoded = b"".join(map(read.__getitem__, own)).decode("utf-8", "replace")
+            yield joined.count(",") + 1 if own else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        for w in missing:
+            if len(w) > KEPT_LENGTH:
+                del written[w], read[w]
 
 
 @lru_cache(maxsize=2)
@@ -225,7 +255,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.encode_batch(part.column(1).to_pylist()), pa.list_(pa.int32()))], names=["id", "ids"])
 
     kept = pick(docs, id_col, text_col).toDF("id", "text")
@@ -252,7 +282,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE_BYTES):
             n, ids, decoded = zip(*own.digests(part.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
