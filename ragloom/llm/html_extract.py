@@ -6,11 +6,17 @@ then passes points for its length and commas to its ancestors: all to the parent
 A container's points are discounted by its link density. The best container is kept, an article around it included,
 and those of its siblings that score well, hold plain paragraphs, or are headings. All that is left inside goes out.
 
+Inside an article (or main element) forms go, labels and buttons with them, and elements whose class or id names nothing
+but boilerplate ("comment-list", "ad box"); a name that only holds such a word ("menu-driven-design"), and a paragraph
+that is only called related or the like, stay, as do lists of links. An article's own header stays: title and byline are
+part of the text.
+
 A form, and words in class and id, can also mark a wrapper of the whole page. Where neither an article nor a block of PROSE
 characters is kept, the outermost element that these rules alone dropped is kept after all, the one with most paragraph text first,
 until there is such a text or no such element.
 
-Defined results: null and empty pages, and those with boilerplate by element, role or hidden state only, give the empty
+Defined results: a null id or url stays null; no rows: no rows; pages of any length are read whole, in time in proportion to
+their length; further columns, whatever their names, are ignored. Null and empty pages, and those with boilerplate by element, role or hidden state only, give the empty
 text; markup that is cut off ends at the end of
 the page; repeated rows give repeated rows; of containers with equal points the first in the page wins.
 """
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +38,7 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _WORDS = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
 
 # Elements by their role in HTML.
-_BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
+_BLOCKS = set("button datalist label address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _RAW = set("script style noscript template iframe object svg math canvas audio video noembed noframes textarea select title".split())
 _DROPPED = set("head nav footer aside dialog menu search fieldset legend button label datalist".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +53,10 @@ _BOILERPLATE = set(
     "ad ads advert advertisement advertising adverts adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription signup sidebar sidenav widget widgets related recommended recommendations nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer header comment comments commentlist disqus respond replies reply share sharing social login search form skip hidden outbrain taboola".split()
 )
 _TITLED = {"header", "masthead"}
+#: Words that name a place or kind of box: beside them alone a boilerplate word names boilerplate inside an article.
+_PLACES = set("box container wrapper wrap list section block area bar left right top bottom inner outer item items link links module thread count title heading content post page site main article js and the rail aside region row col unit slot label text inline".split())
+#: Of the words above, those that mark a paragraph inside an article, too.
+_INSERTED = set("ad ads advert advertisement advertising adverts adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup popup modal hidden outbrain taboola disqus".split())
 _PROSE_TAGS = {"p", "pre", "blockquote"}
 
 #: Characters from which a kept block looks like text of a page.
@@ -55,10 +66,11 @@ ROUNDS = 8
 
 
 class _Node:
-    __slots__ = ("children", "commas", "drop", "link", "links", "order", "parent", "pieces", "points", "size", "tag", "weak")
+    __slots__ = ("children", "commas", "drop", "inside", "link", "links", "order", "parent", "pieces", "points", "size", "tag", "weak")
 
     def __init__(self, tag: str, parent: _Node | None, order: int, drop: bool):
         self.tag, self.parent, self.order, self.drop = tag, parent, order, drop
+        self.inside = False  # in an article
         self.weak = False  # dropped by being a form, or by words in class and id, and by nothing else
         self.children: list[_Node | str] = []  # elements, and runs of text between them
         self.pieces: list[tuple[str, bool]] = []
@@ -85,7 +97,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _is_boilerplate(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
     """Whether the element itself marks what it holds as no part of the text."""
-    if tag in _DROPPED or (tag in ("header", "form") and not inside_article):
+    if tag in _DROPPED or tag == "form" or tag == "header" and not inside_article:
         return True
     if not attributes:
         return False
@@ -95,15 +107,18 @@ def _is_boilerplate(tag: str, attributes: dict[str, str], inside_article: bool)
         return True
     if tag in ("html", "body", "main"):
         return False
-    named = {w.lower() for k in ("class", "id") for w in _WORDS.findall(attributes.get(k, ""))}
-    found = named & _BOILERPLATE
-    return bool(found - _TITLED or found and not inside_article)
+    names = [{w.lower() for w in _WORDS.findall(name)} for k in ("class", "id") for name in attributes.get(k, "").split()]
+    if not inside_article:
+        return any(name & _BOILERPLATE for name in names)
+    marks = _INSERTED if tag in _PROSE_TAGS or tag in _HEADINGS else _BOILERPLATE - _TITLED
+    return any(name & marks and name <= _BOILERPLATE | _PLACES for name in names)
 
 
 def _tree(source: str) -> _Node:
     """The block elements of a page; `drop` marks boilerplate."""
     top = here = _Node("html", None, 0, False)
-    at, order, links, articles = 0, 0, 0, 0
+    at, order, links = 0, 0, 0
+    opened: Counter[str] = Counter()  # open elements by name, so that no tag searches in vain for what isn't open
     while True:
         found = source.find("<", at)
         if found < 0:
@@ -128,14 +143,14 @@ def _tree(source: str) -> _Node:
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in _BLOCKS and tag != "html":
+            elif tag in _BLOCKS and tag != "html" and opened[tag]:
                 node = here
                 while node and node.tag != tag and not (tag in ("li", "p") and node.tag in _SCOPES):
                     node = node.parent
                 if node and node.tag == tag and node.parent:
                     here.flush()
                     links = 0
-                    articles -= _articles(here, node.parent)
+                    _leave(here, node.parent, opened)
                     here = node.parent
             continue
         if tag in ("svg", "math") and m[0].endswith("/>"):
@@ -157,21 +172,23 @@ def _tree(source: str) -> _Node:
         if here.tag == "p" or here.tag in _HEADINGS:  # a block ends an open paragraph or heading
             here = here.parent
         ended = _CLOSES.get(tag)
-        if ended:
+        if ended and any(opened[t] for t in ended):
             node, last = here, None
             while node and node.tag not in _SCOPES:
                 last = node if node.tag in ended else last
                 node = node.parent
             here = last.parent if last and last.parent else here
-        articles -= _articles(before, here)
+        _leave(before, here, opened)
+        inside = opened["article"] + opened["main"] > 0
         if tag in ("hr", "html"):
             continue
         order += 1
         attributes = _attributes(m[3] or "")
-        node = _Node(tag, here, order, _is_boilerplate(tag, attributes, articles > 0))
-        node.weak = node.drop and not _is_boilerplate("div" if tag == "form" else tag, {k: v for k, v in attributes.items() if k not in ("class", "id")}, articles > 0)
+        node = _Node(tag, here, order, _is_boilerplate(tag, attributes, inside))
+        node.inside = inside
+        node.weak = node.drop and not _is_boilerplate("div" if tag == "form" else tag, {k: v for k, v in attributes.items() if k not in ("class", "id")}, inside)
         here.children.append(node)
-        articles += tag in ("article", "main")
+        opened[tag] += 1
         here = node
     while here:
         here.flush()
@@ -179,13 +196,11 @@ def _tree(source: str) -> _Node:
     return top
 
 
-def _articles(below: _Node, above: _Node) -> int:
-    """Articles left on the way up."""
-    n = 0
+def _leave(below: _Node, above: _Node, opened: Counter[str]) -> None:
+    """Count off the elements left on the way up."""
     while below is not above and below:
-        n += below.tag in ("article", "main")
+        opened[below.tag] -= 1
         below = below.parent
-    return n
 
 
 def _walk(node: _Node) -> Iterator[_Node]:
@@ -236,7 +251,7 @@ def _scored_text(source: str, kept: set[int] | None) -> tuple[str, bool, int | N
             node.parent.link += node.link
             node.parent.links += node.links
     for node in nodes:  # menus that no name gives away
-        if node.tag in ("ul", "ol", "dl", "table") and node.links >= 2 and node.link * 3 > node.size * 2 or node.parent and node.parent.drop:
+        if node.tag in ("ul", "ol", "dl", "table") and not node.inside and node.links >= 2 and node.link * 3 > node.size * 2 or node.parent and node.parent.drop:
             node.drop = True
     for node in nodes:
         size, commas = own[id(node)]
