@@ -6,7 +6,8 @@ filters with numpy. `low_frequency_hash` shrinks the image to 32 by 32 means and
 cosine coefficients against their median, as 16 hex digits.
 
 Defined results: a null text is the empty text; the empty text is stored as one row of 64 zeros; equal texts give
-equal values; a null id stays null. A corrupt image raises ValueError naming what failed.
+equal values; repeated rows give repeated rows; a null id stays null; no rows: no rows. Long texts are stored whole, further
+columns ignored. A corrupt or null image raises ValueError naming what failed.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import SUB_BATCH_BYTES, pick, ship, text_slices
 
 WIDTH = 64
 LEVEL = 3
+#: Row filters that are chosen from: those that are undone by running sums. All five are read.
+CHOICES = (0, 1, 2)
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _GRID, _LOW = 32, 8
 
@@ -56,17 +59,23 @@ def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
     return np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
 
 
+def choose_filters(image: np.ndarray) -> np.ndarray:
+    """For each row the filter of CHOICES whose differences, taken as signed, sum up to least; the first of equals."""
+    sums = [np.abs(_filter(image, kind).view(np.int8).astype(np.int16)).sum(1) for kind in CHOICES]
+    return np.array(CHOICES, np.uint8)[np.argmin(sums, axis=0)]
+
+
 def encode_png(payload: bytes, width: int = WIDTH, level: int = LEVEL, filters: bytes | None = None) -> bytes:
-    """An 8-bit grey PNG; filters: the filter of each row, none by default (text compresses best so)."""
+    """An 8-bit grey PNG; filters: the filter of each row, by default chosen for each."""
     if not payload or len(payload) % width:
         raise ValueError(f"payload must be a positive multiple of {width} bytes")
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
     rows = np.zeros((len(image), width + 1), np.uint8)
     rows[:, 1:] = image
-    if filters is not None:
-        rows[:, 0] = np.frombuffer(filters, np.uint8)
-        for kind in set(filters) - {0}:
-            at = rows[:, 0] == kind
+    rows[:, 0] = choose_filters(image) if filters is None else np.frombuffer(filters, np.uint8)
+    for kind in (1, 2, 3, 4):
+        at = rows[:, 0] == kind
+        if at.any():
             rows[at, 1:] = _filter(image, kind)[at]
     head = struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0)
     return b"".join((_SIGNATURE, _chunk(b"IHDR", head), _chunk(b"IDAT", zlib.compress(rows, level)), _chunk(b"IEND", b"")))
@@ -86,14 +95,17 @@ def _unfilter(rows: np.ndarray) -> np.ndarray:
             if at:
                 part[0] += out[at - 1]
             np.cumsum(part, axis=0, dtype=np.uint8, out=part)
-        elif kind > 2:
-            for y in range(at, to):
-                above = out[y - 1].astype(np.int16) if y else np.zeros(out.shape[1], np.int16)
-                left, corner, line = 0, 0, out[y]
-                for x, up in enumerate(above.tolist()):
-                    guess = (left + up) >> 1 if kind == 3 else int(_paeth(*(np.array(v) for v in (left, up, corner))))
-                    left = line[x] = (int(line[x]) + guess) & 255
-                    corner = up
+        elif kind > 2:  # a sample needs those left of it and above: diagonals of samples are undone at once
+            held = np.zeros((to - at + 1, out.shape[1] + 1), np.int16)
+            held[1:, 1:] = part
+            held[0, 1:] = out[at - 1] if at else 0
+            for d in range(2, held.shape[0] + held.shape[1] - 1):
+                y = np.arange(max(1, d - held.shape[1] + 1), min(held.shape[0], d))
+                x = d - y
+                left, up = held[y, x - 1], held[y - 1, x]
+                guess = (left + up) >> 1 if kind == 3 else _paeth(left, up, held[y - 1, x - 1])
+                held[y, x] = (held[y, x] + guess) & 255
+            part[:] = held[1:, 1:]
     return out
 
 
@@ -180,6 +192,8 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             rows = []
             for stored in batch.column(2):
                 data = stored.as_py()
+                if data is None:
+                    raise ValueError("an image is null")
                 image = decode_png(data)
                 payload = image.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), low_frequency_hash(image)))
