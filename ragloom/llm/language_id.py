@@ -5,7 +5,7 @@ language and of the address suffix, and a prior for the host are added; the lang
 its posterior probability.
 
 * Trigram tables are fitted on a sample of labelled texts: PER_LANGUAGE a language at most, those of the least hashed
-  ids, of the MAX_LANGUAGES languages with most rows. Trigrams of one text depend on each other, so a text counts for
+  ids, of each language that is a label. Trigrams of one text depend on each other, so a text counts for
   EFFECTIVE independent ones at most.
 * What a declaration or a suffix says is learnt from the table itself: how often it goes with each language that the
   text alone suggests, smoothed by STRENGTH rows of a default (for declarations RELIABLE of them agree; for suffixes
@@ -16,10 +16,11 @@ its posterior probability.
 All counts are grouped aggregations over all rows.
 
 Defined results: a text without letters has no evidence of its own; it is not accepted, its language is the one that
-the other evidence suggests. A text that a uniform model of prior odds ODD_PRIOR explains better than every language is `und`,
+the other evidence suggests. A language of posterior under CONFIDENT isn't accepted. A text that a uniform model of prior odds ODD_PRIOR explains better than every language is `und`,
   not accepted.
 Null or unknown declarations and hosts are no evidence. Of equal sums the first language in alphabetical order wins.
-Without labelled texts, everything is `und`. Repeated rows give repeated rows and count repeatedly.
+Without labelled texts, everything is `und`. Repeated rows give repeated rows and count repeatedly. A null id stays null.
+An empty table gives no rows. Long texts are read whole. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import SUB_BATCH_BYTES, cut, pick, ship, text_slices
 
-PER_LANGUAGE, MAX_LANGUAGES = 400, 64
+PER_LANGUAGE = 400
 BUCKETS = 1 << 15
 EFFECTIVE = 200
 SMOOTH = 0.05
@@ -41,6 +42,8 @@ STRENGTH = 20.0
 RELIABLE = 0.9
 #: Prior odds of the uniform model against a language.
 ODD_PRIOR = 1e-4
+#: Posterior probability from which a language is accepted.
+CONFIDENT = 0.5
 #: Largest table of counts by key that is broadcast.
 BROADCAST_KEYS = 10_000
 
@@ -91,13 +94,12 @@ def fit_text_model(labelled: DataFrame) -> TextModel:
     """labelled: id, lang, text. Only ids and labels are ranked; the texts of the sample are read by their ids."""
     ship(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & F.col("id").isNotNull())
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in top)
+    languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())  # as many rows as languages
     if not languages:
         return TextModel([], np.zeros((0, BUCKETS)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = usable.where(F.col("lang").isin(languages)).select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE)
-    sample = usable.join(F.broadcast(cut(ids.select("id", "lang").distinct())), ["id", "lang"])  # PER_LANGUAGE * MAX_LANGUAGES rows at most
+    sample = usable.join(F.broadcast(cut(ids.select("id", "lang").distinct())), ["id", "lang"])  # PER_LANGUAGE rows a language at most
     index = {x: k for k, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +108,13 @@ def fit_text_model(labelled: DataFrame) -> TextModel:
             bucket, n = trigrams(part.column(1).to_pylist())
             owner = np.repeat([index[x] for x in part.column(0).to_pylist()], n)
             counts += np.bincount(owner * BUCKETS + bucket, minlength=counts.size).reshape(counts.shape)
-        for k in np.flatnonzero(counts.any(1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts[k].tobytes()], pa.binary())], names=["k", "counts"])
+        k, bucket = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[k, bucket])], names=["k", "bucket", "n"])
 
     counts = np.zeros((len(languages), BUCKETS), np.int64)
-    for r in sample.select("lang", "text").coalesce(4).mapInArrow(run, "k int, counts binary").collect():  # 4 rows a language
-        counts[r["k"]] += np.frombuffer(bytes(r["counts"]), np.int64)
+    sums = sample.select("lang", "text").mapInArrow(run, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n"))
+    found = sums.toPandas()  # BUCKETS rows a language at most
+    counts[found["k"], found["bucket"]] = found["n"]
     return TextModel(languages, counts)
 
 
@@ -187,7 +190,7 @@ def identify(rows: DataFrame, model: TextModel, to_text: Callable[[str], str] |
     fused = fused.withColumn("most", F.array_max("sums"))
     best = F.get(F.array(*(F.lit(x) for x in languages)), (F.array_position("sums", F.col("most")) - 1).cast("int"))
     posterior = 1 / F.aggregate("sums", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("most")))
-    return fused.select("id", "host", "declared", F.when(F.col("odd"), F.lit("und")).otherwise(best).alias("lang"), F.when(F.col("odd"), 0.0).otherwise(F.round(posterior, 6)).alias("confidence"), (~F.col("odd") & (F.col("n_trigrams") > 0)).alias("accepted"), "n_trigrams")
+    return fused.select("id", "host", "declared", F.when(F.col("odd"), F.lit("und")).otherwise(best).alias("lang"), F.when(F.col("odd"), 0.0).otherwise(F.round(posterior, 6)).alias("confidence"), (~F.col("odd") & (F.col("n_trigrams") > 0) & (posterior >= CONFIDENT)).alias("accepted"), "n_trigrams")
 
 
 def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
