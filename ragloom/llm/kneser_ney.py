@@ -19,7 +19,9 @@ it is 0.5, 1 or 1.5.
 
 Defined results: a null text is the empty text, which has one token, the end; repeated rows give repeated rows and
 count repeatedly; a row without id is held out of training. Without training texts every token has probability 1.
-The shared folder must be mounted on the workers (a path or file: URI), as they map its files.
+The shared folder must be mounted on the workers (a path or file: URI), as they map its files; a missing file is an
+error. More than 2^32 - 3 distinct words are refused. No rows: no rows. Long texts are scored whole.
+Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +45,14 @@ from .shingles import words_of
 #: Tokens that a worker counts before it sends them on.
 CHUNK_TOKENS = 3_000_000
 SLICE_BYTES = 2 << 20
+#: Bytes of text a part of the model at most, which bounds what the worker that merges a part holds.
+PART_BYTES = 32 << 20
 #: The hash of the end; the number of the start, which no word has.
 END = np.uint64(0xE4D5_0F7E_57E4_D001)
 START = np.uint64(0xFFFF_FFFF)
 _LOW = np.uint64(0xFFFF_FFFF)
+#: Bytes of a count on its way to its part; zeros in the upper ones cost next to nothing once compressed.
+COUNT_BYTES = 6
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +81,14 @@ def _blobs(parts: np.ndarray, n_parts: int, columns: list[np.ndarray]) -> pa.Rec
     parts, columns = parts[order], [c[order] for c in columns]
     cuts = np.searchsorted(parts, np.arange(n_parts + 1))
     used = np.flatnonzero(np.diff(cuts)).tolist()
-    packed = [pa.array([_pack(np.diff(c[cuts[p] : cuts[p + 1]], prepend=np.uint64(0)) if k == 0 else c[cuts[p] : cuts[p + 1]], 8 if k == 0 else 4) for p in used], pa.binary()) for k, c in enumerate(columns)]
+    packed = [pa.array([_pack(np.diff(c[cuts[p] : cuts[p + 1]], prepend=np.uint64(0)) if k == 0 else c[cuts[p] : cuts[p + 1]], 8 if k == 0 else COUNT_BYTES) for p in used], pa.binary()) for k, c in enumerate(columns)]
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *packed], names=["part", *(f"c{k}" for k in range(len(columns)))])
 
 
 def _merged(group: pa.RecordBatch, n_columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct first numbers of a part in order, and the sums of the further columns."""
     key = np.concatenate([np.cumsum(_unpack(x.as_py(), 8), dtype=np.uint64) for x in group.column(1)])
-    rest = [np.concatenate([_unpack(x.as_py(), 4) for x in group.column(k + 2)]) for k in range(n_columns)]
+    rest = [np.concatenate([_unpack(x.as_py(), COUNT_BYTES) for x in group.column(k + 2)]) for k in range(n_columns)]
     order = np.argsort(key, kind="stable")
     key = key[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -117,14 +123,18 @@ class Model:
         self.path = path
         with open(f"{path}/model.json") as f:
             self.meta = json.load(f)
+        for kind in ("word_parts", "pair_parts"):  # parts that hold something
+            self.meta[kind] = set(self.meta.get(kind, ()))
         self.n = self.meta["parts"]
         self.starts = np.array(self.meta["starts"], np.uint64)  # the number of each part's first word
         self.maps: dict[str, np.ndarray] = {}
 
     def array(self, name: str) -> np.ndarray | None:
         if name not in self.maps:
-            at = f"{self.path}/{name}.npy"
-            self.maps[name] = np.load(at, mmap_mode="r") if os.path.exists(at) else None
+            kind, part = name.rsplit("-", 1)
+            held = self.meta["pair_parts" if kind.startswith("pair") else "word_parts"]
+            # a file that is missing without being an empty part's is an error, not an unknown word
+            self.maps[name] = np.load(f"{self.path}/{name}.npy", mmap_mode="r") if int(part) in held else None
         return self.maps[name]
 
     def _each_part(self, parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -225,10 +235,11 @@ def train(texts: DataFrame) -> str:
         raise ValueError(f"workers map the model's files, so spark.checkpoint.dir must be a mounted path, not {shared.scheme}:")
     path = shared.path
     os.makedirs(path, exist_ok=True)
-    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = pick(texts, "text").select(F.coalesce("text", F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // PART_BYTES))
     rows = max(1, int(n**0.5))
     grid = [rows, n // rows]
-    texts = pick(texts, "text").select(F.coalesce("text", F.lit("")).alias("text"))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
         held, tokens = [], 0
@@ -260,7 +271,7 @@ def train(texts: DataFrame) -> str:
     for r in found:
         sizes[r["part"]] = r["words"]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    meta = {"parts": n, "grid": grid, "starts": starts.tolist(), "words": int(sizes.sum()), "tokens": sum(r["tokens"] for r in found)}
+    meta = {"parts": n, "grid": grid, "starts": starts.tolist(), "word_parts": np.flatnonzero(sizes).tolist(), "words": int(sizes.sum()), "tokens": sum(r["tokens"] for r in found)}
     if meta["words"] >= int(START) - 1:
         raise ValueError("too many distinct words for 32-bit numbers")
     _write_meta(path, meta)
@@ -283,7 +294,7 @@ def train(texts: DataFrame) -> str:
             p = group.column(0)[0].as_py()
             key, (count,) = _merged(group, 1)
             _save(f"{path}/pairs-{p}.npy", key)
-            _save(f"{path}/pair-counts-{p}.npy", count.astype(np.uint32))
+            _save(f"{path}/pair-counts-{p}.npy", count.astype(np.int64))
             v, w = key >> np.uint64(32), key & _LOW
             at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             after = [np.add.reduceat((np.minimum(count, 3) == k).astype(np.uint64), at) for k in (1, 2, 3)]
@@ -295,7 +306,7 @@ def train(texts: DataFrame) -> str:
             first = v[at] == START
             own = [int(a[first].sum()) for a in after] + [int(count[v == START].sum())]
             inner = number != START
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in (json.dumps(times + own).encode(), None, None, None, None))], names=["part", "c0", "c1", "c2", "c3", "c4"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x], pa.binary()) for x in (json.dumps([*times, *own, p]).encode(), None, None, None, None))], names=["part", "c0", "c1", "c2", "c3", "c4"])
             home = np.searchsorted(starts, number[inner], side="right") - 1
             yield _blobs(home.astype(np.uint64), n, [number[inner], *(c[inner] for c in columns)])
 
@@ -303,16 +314,18 @@ def train(texts: DataFrame) -> str:
 
     sent = texts.mapInArrow(count_pairs, "part int, c0 binary, c1 binary")
     parts = cut(sent.repartition(n, "part").sortWithinPartitions("part").mapInArrow(save_pairs, "part int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"))
-    sums = np.zeros(9, np.int64)
+    sums, held = np.zeros(9, np.int64), []
     for r in parts.where("part < 0").select("c0").collect():  # a row for each part
-        sums += json.loads(bytes(r["c0"]))
-    meta |= {"discounts": discounts(sums[:4].tolist()), "pairs": int(sums[4]), "start": sums[5:8].tolist(), "texts": int(sums[8])}
+        *own, p = json.loads(bytes(r["c0"]))
+        sums += own
+        held.append(p)
+    meta |= {"pair_parts": held, "discounts": discounts(sums[:4].tolist()), "pairs": int(sums[4]), "start": sums[5:8].tolist(), "texts": int(sums[8])}
 
     def save_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches):
             p = group.column(0)[0].as_py()
             key, columns = _merged(group, 4)
-            out = np.zeros((int(sizes[p]), 4), np.uint32)
+            out = np.zeros((int(sizes[p]), 4), np.uint32)  # numbers of different words, which are under 2^32
             out[(key - np.uint64(starts[p])).astype(np.int64)] = np.stack(columns, 1)
             _save(f"{path}/around-{p}.npy", out)
             yield pa.RecordBatch.from_arrays([pa.array([[int((out[:, 3] == k).sum()) for k in (1, 2, 3, 4)] + [int((out[:, 3] > 4).sum())]], pa.list_(pa.int64()))], names=["times"])
