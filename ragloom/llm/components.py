@@ -15,14 +15,13 @@ from .common import cut
 
 #: Edges up to which the minima (16 bytes each, fewer than edges) are broadcast, and edges in a partition.
 BROADCAST_EDGES, PARTITION_EDGES = 100_000, 20_000
-MAX_ROUNDS = 60
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """For rows (u, v): u, v, and the least v of u."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    # an exchange between, so that either side of the join has a plain one
-    return edges.join(F.broadcast(least) if small else least.repartition(F.col("m")), "u")
+    # an exchange between, so that either side of the join has a plain one; by both columns, as a component's nodes share m
+    return edges.join(F.broadcast(least) if small else least.repartition("u", "m"), "u")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     n = current.count()
     small, parts = n <= BROADCAST_EDGES, n // PARTITION_EDGES + 1
     seen = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # the number of components and the sum of labels fall until they settle, in about log2(longest path) rounds
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, small).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         found = _star(cut(large.distinct().coalesce(parts)), small)
@@ -47,7 +46,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -133,8 +133,8 @@ def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bits[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1) > 0
 
 
-def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents (id, text) whose id may be among the ids."""
+def _filtered(docs: DataFrame, ids: DataFrame, repeated: bool = True) -> DataFrame:
+    """The documents (id, text) whose id may be among the ids; if ids are repeated, each different text of one once."""
     bits = _bit_map(ids.select(F.xxhash64(*ids.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +142,13 @@ def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
             kept = batch.filter(pa.array(_in_map(bits, batch.column(2).to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["id", "text"])
 
-    return docs.where(F.col("id").isNotNull()).select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, text string")
+    found = docs.where(F.col("id").isNotNull()).select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, text string")
+    return found.distinct() if repeated else found
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int, repeated: bool = True) -> DataFrame:
     """Those of the pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union; a checkpoint."""
-    texts = _filtered(docs, pairs.select(F.explode(F.array("a", "b"))))
+    texts = _filtered(docs, pairs.select(F.explode(F.array("a", "b"))), repeated)
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -264,14 +265,14 @@ def _intersections(texts: pa.Array) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _confirm_clusters(clustered: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirm_clusters(clustered: DataFrame, docs: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """Links (a, b) of different components within clusters: of each pair of blocks a spanning forest; a checkpoint.
 
     clustered: id, cluster, component, n, sketch.
     """
     sizes = clustered.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).alias("most"))
     dealt = cut(_dealt(clustered.join(cut(sizes), "cluster"), "cluster", F.col("most")))
-    texts = _filtered(docs, dealt.select("id"))
+    texts = _filtered(docs, dealt.select("id"), repeated)
     whole = dealt.join(texts, "id").select("g", "id", "component", "n", "own", "sketch", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     signed = cut(signatures(plain, side))
     sets = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     # classes of equal sets, which have equal signatures
-    grouped = signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "s1", "s2")
+    grouped = sets.groupBy("n", "s1", "s2")
     reps = cut(grouped.agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
 
     # first pass: diagonal tables, one leader each
@@ -310,7 +311,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     counted = reps.select("id", "n")
     pairs = met.join(counted, "id").join(counted.select(F.col("id").alias("lead"), F.col("n").alias("m")), "lead")
     pairs = cut(pairs.where(_similar_size(F.col("n"), F.col("m"), percent)).select(F.col("id").alias("a"), F.col("lead").alias("b")))
-    links = confirm(pairs, plain, percent)
+    # copies of a row must not meet each other's in the joins below
+    repeated = not sets.groupBy("id").count().where("count > 1").isEmpty()
+    links = confirm(pairs, plain, percent, repeated)
     # a label for each class that has a link: what it is linked to; equal labels are one component
     labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
@@ -339,7 +342,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     members = labelled.select("id", "n", "component", "sketch", "keys").mapInArrow(some_keys, "id long, n long, component long, sketch binary, key long").join(several, "key")
     clusters = _clusters(members, percent).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    more = _confirm_clusters(labelled.select("id", "component", "n", "sketch").join(clusters, "id"), plain, percent)
+    more = _confirm_clusters(labelled.select("id", "component", "n", "sketch").join(clusters, "id"), plain, percent, repeated)
     final = connected_components(links.unionByName(more))
 
     named_classes = reps.select("id", "n", "s1", "s2").join(final.withColumnRenamed("node", "id"), "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
