@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, one of our own if all run in one process."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -52,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     at = sc._jsc.sc().getCheckpointDir()
     if not at.isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-checkpoint-"))
         at = sc._jsc.sc().getCheckpointDir()
     return str(at.get())

@@ -53,10 +53,9 @@ MIX_SEED = 20_240_607
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .source_mixing import shuffled, source_rates, with_copies
+    from .source_mixing import mix_sources
 
-    docs = table(spark, sf_dir, "documents")
-    return shuffled(with_copies(docs, source_rates(docs), MIX_SEED), MIX_SEED).drop("mix_rate")
+    return mix_sources(table(spark, sf_dir, "documents"), seed=MIX_SEED, details=True)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

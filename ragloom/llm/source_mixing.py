@@ -91,13 +91,14 @@ def shuffled(copies: DataFrame, seed: int, id_col: str = "doc_id") -> DataFrame:
     return keyed.repartitionById(n, part).sortWithinPartitions("mix_key")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The mixed and shuffled table, with the columns of docs alone."""
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", details: bool = False) -> DataFrame:
+    """The mixed and shuffled table, with the columns of docs alone; details: and with mix_count, mix_copy and mix_key."""
     names = docs.columns
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
     own_id, own_source = f"c{names.index(id_col)}", f"c{names.index(source_col)}"
     copies = with_copies(plain, source_rates(plain, weights, total, source_col=own_source), seed, own_id, own_source)
-    return shuffled(copies, seed, own_id).select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)))
+    extra = ["mix_count", "mix_copy", "mix_key"] if details else []
+    return shuffled(copies, seed, own_id).select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), *extra)
 
 
 def oracle(seed: int) -> str:
