@@ -11,11 +11,11 @@ from ragloom.llm.embedding_neardup import vector_near_duplicates
 from ragloom.llm.html_extract import extract_main_text
 from ragloom.llm.kneser_ney import train_and_score
 from ragloom.llm.language_id import document_languages, page_languages
-from ragloom.llm.license_scan import NOTICES, license_matches, templates
+from ragloom.llm.license_scan import license_matches
 from ragloom.llm.media_png import media_columns, media_features
 from ragloom.llm.minhash_neardup import near_duplicates
 from ragloom.llm.queries import vocabulary
-from ragloom.llm.source_mixing import mix_sources, shuffled, source_rates, with_copies
+from ragloom.llm.source_mixing import mix_sources
 from ragloom.llm.token_counts import token_counts
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,16 +30,12 @@ ROWS = [
 ]
 
 
-def clashing(df):
-    """Further columns whose names differ from the operators' own in case, or repeat their results'."""
-    return df.withColumn("TEXT", F.lit(1)).withColumn("id", F.lit("x")).withColumn("n_tokens", F.lit(2)).withColumn("rank", F.lit(3))
-
-
 @pytest.fixture(scope="module")
 def docs(spark):
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    yield clashing(spark.createDataFrame(ROWS, COLUMNS))
-    spark.conf.set("spark.sql.caseSensitive", "false")
+    """Under the default settings, by which names that differ in case only are ambiguous."""
+    rows = spark.createDataFrame(ROWS, COLUMNS)
+    extra = rows.select("*", F.lit(1).alias("x1"), F.lit("x").alias("x2"), F.lit(2).alias("x3"), F.lit(3).alias("x4"), F.lit(4).alias("x5"))
+    return extra.toDF(*rows.columns, "TEXT", "id", "n_tokens", "rank", "DOC_ID")
 
 
 @pytest.fixture
@@ -107,21 +103,31 @@ def test_short_notices(spark):
     fixed = [(-1, "ALL RIGHTS reserved."), (-2, "all rights"), (-3, "All the rights reserved"), (-4, None), (-5, "x " * 40 + "all rights reserved"), (-6, "fall rights reserved a b c")]
     docs = docs.unionByName(spark.createDataFrame(fixed, docs.schema))
     want = {r["doc_id"] for r in docs.collect() if re.search(r"(?i)(?<![^\W_])all[\W_]+rights[\W_]+reserved(?![^\W_])", r["text"] or "")}
-    found = license_matches(docs, templates() | NOTICES).collect()
-    got = [r for r in found if r["license"] in NOTICES]
+    found = license_matches(docs).collect()
+    got = [r for r in found if r["license"] == "notice rights reserved"]
     assert {r["doc_id"] for r in got} == want and len(got) == len(want) > 2
     assert all((r["n_template"], r["n_shared"], r["containment"]) == (1, 1, 1.0) for r in got)
-    assert {tuple(r) for r in found if r["license"] not in NOTICES} == {tuple(r) for r in license_matches(docs).collect()}
+
+
+def test_many_copies_of_two_near_texts(spark):
+    """Copies of a row don't meet each other's, and of rows of one id the longest text stays."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(words[:50] if i == 1 else words[:51])) for i in (1, 2) for _ in range(400)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).distinct().collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1)}
+    twice = spark.createDataFrame([(1, "short text here", "en", "a", 1), (1, "a longer text of the same id", "en", "a", 1)], COLUMNS)
+    assert [r["text"] for r in corpus_pipeline.near_dedup(spark, twice, "").collect()] == ["a longer text of the same id"]
 
 
 def test_mixing(docs, empty):
     assert mix_sources(empty).count() == 0
     mixed = mix_sources(docs, seed=3)
     assert mixed.columns == docs.columns
-    copies = with_copies(docs, source_rates(docs, {"a": 0.0, "b": 1.0}, total=400.0, default_weight=0.0), 1)
-    per = {r["source"]: r["count"] for r in copies.groupBy("source").count().collect()}
-    assert set(per) == {"b"} and 330 < per["b"] < 470
-    assert shuffled(copies, 1).count() == per["b"]
+    names = [*docs.columns, "mix_count", "mix_copy", "mix_key"]
+    copies = mix_sources(docs, {"a": 0.0, "b": 1.0, "c": 0.0, "": 0.0}, 400.0, 1, details=True)
+    rows = copies.collect()
+    assert copies.columns == names and {r["source"] for r in rows} == {"b"} and 330 < len(rows) < 470
+    assert len({(r[0], r["mix_copy"]) for r in rows}) == len(rows)
 
 
 def test_pages(spark):
