@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm.bpe_trie import bpe_digests
@@ -18,45 +18,66 @@ NEAR_PERCENT = 80
 BROADCAST_IDS = 1_000_000
 
 
-#: Name of the column that numbers the rows of a stage's input.
-ROW = "_row"
+def _plain(docs: DataFrame) -> DataFrame:
+    """The columns under names of our own, so that no two can be taken for one another."""
+    return docs.toDF(*(f"_c{k}" for k in range(len(docs.columns))))
 
 
-def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def _named(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*(F.col(f"_c{k}").alias(n) for k, n in enumerate(names)))
+
+
+def _without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of docs whose key is not among the ids (a checkpoint); rows without a key stay.
 
     The ids are broadcast if they are counted to be few, so that the texts needn't be shuffled.
     """
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages of the labelled documents; each row by its own text."""
-    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    return _without(rows, cut(document_languages(rows, ROW).where(~F.col("accepted")).select(ROW)), ROW).select(*docs.columns)
+    """Documents whose text is accepted as being in one of the languages of the labelled documents; each row by its own text.
+
+    Texts without letters (null and empty ones too), in no known language, or of a doubtful one go. Rows without an id
+    are judged like all others, and so are repeated rows. An empty table gives an empty one. Columns may clash.
+    """
+    names = docs.columns
+    rows = cut(_plain(docs).withColumn("_row", F.monotonically_increasing_id()))
+    fields = {n: F.col(f"_c{names.index(n)}").alias(n) for n in ("doc_id", "lang", "text", "source")}
+    found = document_languages(rows.select(*fields.values(), "_row"), "_row")
+    return _named(_without(rows, cut(found.where(~F.col("accepted")).select("_row")), "_row"), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id; repeated rows of an id give one.
+    """One document of each group of near duplicates, that of the least id.
 
-    Documents without words are in no group and stay, and so do rows without an id.
+    Of the rows of one id the longest text stays, of equally long ones the least; of rows that differ in other columns
+    only, any one. Documents without words are in no group and stay, and so do rows without an id. An empty table gives
+    an empty one. Columns may clash.
     """
-    found = near_duplicates(docs, NEAR_PERCENT)
-    rest = _without(docs, cut(found.where(~F.col("kept")).select("doc_id")))
-    repeated = cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    names = docs.columns
+    key, text = (f"_c{names.index(n)}" for n in ("doc_id", "text"))
+    plain = _plain(docs)
+    found = near_duplicates(plain.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), NEAR_PERCENT)
+    rest = _without(plain, cut(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key))), key)
+    repeated = cut(plain.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
     if repeated.isEmpty():
-        return rest
-    once = rest.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return _without(rest, repeated).unionByName(once)
+        return _named(rest, names)
+    best = Window.partitionBy(key).orderBy(F.desc_nulls_last(F.length(text)), text)
+    once = rest.join(repeated, key, "left_semi").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return _named(_without(rest, repeated, key).unionByName(once), names)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at equal weight, the size kept: documents are repeated, or left out, by their source's rate."""
+    """Sources at equal weight, the size kept: documents are repeated, or left out, by their source's rate.
+
+    Nulls, ties, empty tables and clashing columns as in mix_sources.
+    """
     return mix_sources(docs, seed=MIX_SEED)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of ids and of the decoded text, of each row."""
+    """doc_id, n_tokens, and digests of ids and of the decoded text, of each row; null and empty texts have no tokens."""
     return bpe_digests(docs, vocabulary("byte_bpe_50k.json"))
 
 
