@@ -63,23 +63,32 @@ def lost_in_middle(rank: Column, n: Column) -> Column:
     return F.when(n <= 2, rank).when(rank % 2 == 0, half).otherwise(n - 1 - half).cast("int")
 
 
+# What tells of an error that may pass, as patterns that Java and Python read alike.
+TRANSIENT_STATUS = r"(?<![0-9A-Za-z])(429|5[0-9][0-9])(?![0-9A-Za-z])"
+TRANSIENT_PHRASES = "rate limit|too many requests|throttl|internal server error|service unavailable|bad gateway|gateway timeout"
+
+
 def is_transient(message: Column) -> Column:
     """Whether an error message tells of a status or condition that may pass."""
-    status = message.rlike(r"(?<![0-9A-Za-z])(429|5[0-9][0-9])(?![0-9A-Za-z])")
-    return F.coalesce(status | F.lower(message).rlike("timeout|timed out|rate limit|too many requests|temporarily|unavailable|connection"), F.lit(False))
+    return F.coalesce(message.rlike(TRANSIENT_STATUS) | F.lower(message).rlike(TRANSIENT_PHRASES), F.lit(False))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def strip_code_fence(text: Column) -> Column:
-    """The text inside a Markdown code fence that encloses it; other texts trimmed."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    inside = F.regexp_replace(F.regexp_replace(bare, r"^```[^\n]*\n", ""), r"\s*```$", "")
-    return F.when(bare.startswith("```") & bare.contains("\n"), inside).otherwise(bare)
+    """What a text that starts with a Markdown fence holds, from its first line's end to its last fence; other texts as they are."""
+    bare = _trimmed(text)
+    inside = F.regexp_replace(bare, r"(?s)^[^\n]*\n", "")
+    inside = _trimmed(F.regexp_replace(inside, r"(?s)^(.*)```.*$", "$1"))
+    return F.when(bare.startswith("```") & bare.contains("\n"), inside).otherwise(text)
 
 
 def data_uri(path: Column, content: Column) -> Column:
     """data: URI of an image file by its extension."""
     kind = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    known = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
+    known = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp"}
     mime = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), kind), F.lit("application/octet-stream"))
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
 
@@ -94,11 +103,12 @@ def role_name(role: Column) -> Column:
 
 def ensure_json_word(text: Column) -> Column:
     """A system message that asks for JSON, as providers want the word to appear."""
-    return F.when(F.upper(text).contains("JSON"), text).otherwise(F.concat_ws("\n", F.nullif(text, F.lit("")), F.lit("Respond in JSON.")))
+    return F.when(F.upper(text).contains("JSON"), text).otherwise(F.concat_ws(" ", text, F.lit("Respond in JSON.")))
 
 
 def model_family(model: Column) -> Column:
-    return F.when(model.rlike("(?i)^(o[134]|gpt-5)"), "reasoning").otherwise("chat")
+    """The way of asking that a model's name calls for: reasoning, gpt5 or legacy."""
+    return F.when(model.rlike("(?i)^o[134]"), "reasoning").when(model.rlike("(?i)^gpt-5"), "gpt5").otherwise("legacy")
 
 
 def tool_arguments(text: Column) -> Column:

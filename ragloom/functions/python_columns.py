@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The markers that models are asked to write.
 _MARKER = re.compile(r"«cite:(\d+)»(.*?)«/cite»", re.S)
 _OPEN = re.compile(r"«cite:\d+»")
 _ANY = re.compile(r"«cite:\d+»|«/cite»")
@@ -23,11 +24,21 @@ def merge(base: object, extra: object) -> object:
     return {k: merge(base[k], extra[k]) if k in base and k in extra else extra.get(k, base.get(k)) for k in [*base, *(k for k in extra if k not in base)]}
 
 
+def _parsed(text: str | None) -> tuple[object] | None:
+    try:
+        return None if text is None else (json.loads(text),)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def json_deep_merge(base: pd.Series, extra: pd.Series) -> pd.Series:
-    """JSON of the second merged over the first; a null leaves the other."""
-    pick = lambda a, b: b if a is None else a if b is None else json.dumps(merge(json.loads(a), json.loads(b)), ensure_ascii=False)
-    return pd.Series([pick(a, b) for a, b in zip(base, extra, strict=True)])
+    """JSON of the second merged over the first; a null leaves the other, and so does one that doesn't parse; neither: null."""
+    out = []
+    for a, b in zip(base, extra, strict=True):
+        one, two = _parsed(a), _parsed(b)
+        out.append((None if two is None else b) if one is None else a if two is None else json.dumps(merge(one[0], two[0]), ensure_ascii=False))
+    return pd.Series(out)
 
 
 def content_text(value: object) -> str:
@@ -43,7 +54,8 @@ def content_text(value: object) -> str:
 
 @F.pandas_udf(T.StringType())
 def message_content(raw: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else content_text(json.loads(x)) for x in raw])
+    """The text of a message's raw JSON content; null where there is none or it doesn't parse."""
+    return pd.Series([None if (x := _parsed(t)) is None else content_text(x[0]) for t in raw])
 
 
 def parse_citations(text: str | None, n_documents: int) -> tuple[str, list[tuple[int, int, str, int]]]:
@@ -78,5 +90,5 @@ def parse_citations(text: str | None, n_documents: int) -> tuple[str, list[tuple
 
 @F.pandas_udf(_CITED)
 def citations(text: pd.Series, n_documents: pd.Series) -> pd.DataFrame:
-    rows = [parse_citations(t, int(n)) for t, n in zip(text, n_documents, strict=True)]
+    rows = [parse_citations(t, 0 if pd.isna(n) else int(n)) for t, n in zip(text, n_documents, strict=True)]
     return pd.DataFrame({"clean": [c for c, _ in rows], "citations": [[{"start": s, "end": e, "text": t, "doc_index": d} for s, e, t, d in f] for _, f in rows]})
