@@ -6,7 +6,8 @@ Offsets count UTF-16 units. A null or empty text gives no chunks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -23,14 +24,21 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
 def fixed_chunks(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    """Chunks of `size` code points, each `overlap` after the start of the next; native, one pass."""
+    """Chunks of `size` code points, each `overlap` after the start of the next; native, in time linear in the text.
+
+    A text is cut into pieces of size - overlap code points; a chunk is some pieces on, cut to its size. Offsets are the
+    pieces' lengths summed up.
+    """
     step = options.size - options.overlap
     n = F.length("text")
-    starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda b: (b == 0) | (b - step + options.size < n))
-    placed = docs.where(n > 0).select("document_id", "text", F.posexplode(starts).alias("chunk_index", "at"))
-    own = F.substring("text", F.col("at") + 1, F.lit(options.size))
-    start = utf16_length(F.substring("text", F.lit(1), F.col("at")))
-    return placed.select("document_id", "chunk_index", start.alias("start_offset"), (start + utf16_length(own)).alias("end_offset"), own.alias("text"))
+    cut = docs.where(n > 0).select("document_id", n.alias("n"), F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1)).alias("pieces"))
+    # the last chunk is the first that reaches the end
+    count = F.greatest(F.lit(1), F.ceil((F.col("n") - options.size) / step) + 1).cast("int")
+    start = F.aggregate(F.transform("pieces", utf16_length), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    own = F.transform(F.slice("pieces", F.lit(1), count), lambda _, k: F.substring(F.array_join(F.slice("pieces", k + 1, -(-options.size // step)), ""), 1, options.size))
+    placed = cut.select("document_id", own.alias("own"), start.alias("starts")).select("document_id", "starts", F.posexplode("own").alias("chunk_index", "text"))
+    begin = F.get("starts", F.col("chunk_index"))
+    return placed.select("document_id", "chunk_index", begin.alias("start_offset"), (begin + utf16_length(F.col("text"))).alias("end_offset"), "text")
 
 
 def recursive_spans(text: str, options: ChunkOptions) -> list[tuple[int, int]]:
@@ -70,17 +78,11 @@ def recursive_spans(text: str, options: ChunkOptions) -> list[tuple[int, int]]:
             todo.append((a, b, level + 1))
             continue
         edges, parts, first = [*starts, b], [], 0
-        for i in range(len(starts)):
-            if size(edges[first], edges[i + 1]) <= options.size:
-                continue
-            if i > first:
-                parts.append((edges[first], edges[i], -1))
-                first = i
-            if size(edges[i], edges[i + 1]) > options.size:
-                parts.append((edges[i], edges[i + 1], level + 1))
-                first = i + 1
-        if first < len(starts):
-            parts.append((edges[first], b, -1))
+        while first < len(starts):
+            # the furthest edge that a chunk from here may reach; sizes grow with the edge
+            reach = bisect_right(range(first + 1, len(edges)), options.size, key=lambda i: size(edges[first], edges[i]))  # noqa: B023
+            parts.append((edges[first], edges[first + max(1, reach)], -1 if reach else level + 1))
+            first += max(1, reach)
         todo += reversed(parts)
     return _overlapped(text, raw, options)
 
@@ -134,10 +136,10 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE_END.split(text) if s.strip()]
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
+def sentence_spans(text: str, split: Callable[[str], list[str]] = split_sentences) -> list[tuple[int, int]]:
     """Where the sentences are: each searched from the end of the one before."""
     spans, at = [], 0
-    for s in split_sentences(text):
+    for s in split(text):
         found = text.find(s, at)
         found = found if found >= 0 else text.find(s)
         if found >= 0:
@@ -178,12 +180,18 @@ def semantic_spans(text: str, vectors: np.ndarray, spans: list[tuple[int, int]],
     return [(starts[a], starts[b]) for a, b in zip(cuts, [*cuts[1:], len(spans)], strict=True)] if spans else []
 
 
-def semantic_chunks(docs: DataFrame, provider: Provider, options: SemanticOptions = SemanticOptions()) -> DataFrame:
+#: A sentence splitter: the sentences of a text, in order, as they stand in it.
+Splitter = Callable[[str], list[str]]
+
+
+def semantic_chunks(docs: DataFrame, provider: Provider, options: SemanticOptions = SemanticOptions(), split: Splitter = split_sentences) -> DataFrame:
+    """Sentences joined while they are alike; one call to the provider a text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for i, t in zip(batch["document_id"], batch["text"], strict=True):
-                spans = sentence_spans(t or "")
+                spans = sentence_spans(t or "", split)
                 if spans:
                     vectors = np.array(provider.embed([t[a:b] for a, b in spans], "document")) if len(spans) > 1 else np.zeros((1, 1))
                     rows += _rows(i, t, semantic_spans(t, vectors, spans, options))

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import math
 import random
 import re
 import time
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import TRANSIENT_PHRASES, TRANSIENT_STATUS
 from ..options import EmbedOptions
 from ..providers import Provider
 
-_TRANSIENT = re.compile(r"(?<![0-9A-Za-z])(429|5[0-9][0-9])(?![0-9A-Za-z])|timeout|timed out|rate limit|too many requests|temporarily|unavailable|connection", re.I)
+_TRANSIENT = re.compile(f"{TRANSIENT_STATUS}|{TRANSIENT_PHRASES}", re.I)
 _RESULT = "document_id string, chunk_index int, start_offset int, end_offset int, text string, batch_index long, embedding array<float>, is_success boolean, error_message string, attempts int"
 
 
@@ -69,42 +72,60 @@ def response_problem(vectors: list, n: int, dimension: int | None) -> str | None
             return "an embedding is empty"
         if len(v) != want:
             return f"an embedding has {len(v)} components, not {want}"
-        if not all(map(math.isfinite, v)):
-            return "an embedding is not finite"
+    if n and not np.isfinite(np.asarray(vectors, np.float64)).all():
+        return "an embedding is not finite"
     return None
 
 
 def embed_chunks(chunks: DataFrame, provider: Provider, options: EmbedOptions = EmbedOptions()) -> DataFrame:
-    """Chunks with embedding, is_success, error_message and attempts; batches are cut within each partition."""
+    """Chunks with embedding, is_success, error_message and attempts; batches are cut within each partition.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, tokens, index = [], 0, 0
-
-        def done() -> pd.DataFrame:
-            rows = pd.DataFrame(held)
-            vectors, error, attempts = call_with_retry(provider, rows["text"].tolist(), options)
-            rows["batch_index"] = index
-            rows["embedding"] = [np.asarray(v, np.float32) for v in vectors] if vectors else [None] * len(rows)
-            rows["is_success"], rows["error_message"], rows["attempts"] = vectors is not None, error, attempts
-            return rows
+    batch_index orders batches over all partitions: the partition in the upper bits, the batch within it in the lower 33.
+    Up to `concurrency` batches of a partition are with the provider at once; results come in the order of the batches.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(options.concurrency) as pool:
+            waiting: deque = deque()
+            for rows, index in cut(batches):
+                waiting.append(pool.submit(done, rows, index))
+                if len(waiting) >= options.concurrency:
+                    yield waiting.popleft().result()
+            while waiting:
+                yield waiting.popleft().result()
+
+    def done(rows: pd.DataFrame, index: int) -> pd.DataFrame:
+        vectors, error, attempts = call_with_retry(provider, rows["text"].tolist(), options)
+        rows["batch_index"] = index
+        rows["embedding"] = [np.asarray(v, np.float32) for v in vectors] if vectors else [None] * len(rows)
+        rows["is_success"], rows["error_message"], rows["attempts"] = vectors is not None, error, attempts
+        return rows
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, int]]:
+        """Slices of the rows that hold a batch each."""
+        context = TaskContext.get()
+        index = (context.partitionId() if context else 0) << 33
+        rest, used = [], [0, 0]  # slices of the open batch, its items and tokens
         for batch in batches:
-            for row in batch.to_dict("records"):
-                cost = len((row["text"] or "").encode("utf-16-le")) // 8
-                if held and (len(held) >= options.max_items or options.max_tokens and tokens + cost > options.max_tokens):
-                    yield done()
-                    held, tokens, index = [], 0, index + 1
-                held.append(row)
-                tokens += cost
-        if held:
-            yield done()
+            first = 0
+            for k, cost in enumerate(len(t.encode("utf-16-le")) // 8 for t in batch["text"]):
+                if used[0] and (used[0] >= options.max_items or options.max_tokens and used[1] + cost > options.max_tokens):
+                    yield pd.concat([*rest, batch.iloc[first:k]], ignore_index=True), index
+                    rest, used, first, index = [], [0, 0], k, index + 1
+                used = [used[0] + 1, used[1] + cost]
+            rest.append(batch.iloc[first:])
+        if used[0]:
+            yield pd.concat(rest, ignore_index=True), index
 
     valid = F.assert_true((F.trim("document_id") != "") & F.col("text").isNotNull() & (F.col("chunk_index") >= 0) & (F.col("start_offset") <= F.col("end_offset")), F.lit("a chunk is not valid"))
     return chunks.where(valid.isNull()).select("document_id", "chunk_index", "start_offset", "end_offset", "text").mapInPandas(run, _RESULT)
 
 
 def progress(results: DataFrame) -> DataFrame:
-    """Completed batches, chunks and failed batches, cumulative by batch_index."""
+    """Completed batches, chunks and failed batches, cumulative by batch_index.
+
+    One row a batch meets in the window; it has no partition, as the totals run over all batches.
+    """
     each = results.groupBy("batch_index").agg(F.count("*").alias("n"), F.max(F.when(F.col("is_success"), 0).otherwise(1)).alias("failed"))
     w = Window.orderBy("batch_index").rowsBetween(Window.unboundedPreceding, 0)
     return each.select("batch_index", F.count("*").over(w).alias("completed_batches"), F.sum("n").over(w).alias("total_chunks"), F.sum("failed").over(w).alias("failed_batches"))
