@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
 import zlib
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -42,3 +44,42 @@ class OfflineProvider:
 
     def chat(self, messages: list[tuple[str, str]], temperature: float | None = None) -> str:
         return " ".join(messages[-1][1].split()[:40]) if messages else ""
+
+    features = frozenset({"embed", "rerank", "chat"})
+
+
+def has(provider: Provider, feature: str) -> bool:
+    """Whether the provider says that it has a feature; one that says nothing has what it has methods for."""
+    named = getattr(provider, "features", None)
+    return feature in named if named is not None else callable(getattr(provider, feature, None))
+
+
+#: Makers of providers by name.
+REGISTRY: dict[str, Callable[..., Provider]] = {"offline": OfflineProvider}
+
+
+def register(name: str, make: Callable[..., Provider]) -> None:
+    REGISTRY[name] = make
+
+
+def create(name: str, **settings: object) -> Provider:
+    if name == "http" and name not in REGISTRY:
+        from .providers_http import HttpProvider
+
+        register("http", HttpProvider)
+    if name not in REGISTRY:
+        raise ValueError(f"no provider is registered as {name}")
+    return REGISTRY[name](**settings)
+
+
+def wait_until_processed(status: Callable[[], str], timeout: float = 300.0, interval: float = 1.0) -> str:
+    """Asks for a file's status until it is a last one; TimeoutError after `timeout` seconds."""
+    deadline = time.monotonic() + timeout
+    while True:
+        found = status()
+        if found in ("completed", "failed", "cancelled"):
+            return found
+        left = deadline - time.monotonic()
+        if left <= 0:
+            raise TimeoutError(f"the file was still {found} after {timeout} s")
+        time.sleep(min(interval, left))

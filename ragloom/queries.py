@@ -192,15 +192,20 @@ def conversation_history(spark, sf_dir):
     return grounding.conversation_history(_table(spark, sf_dir, "conversations")).select("conv_id", F.md5("history").alias("history_md5"))
 
 
-@query("SELECT item_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS inside FROM benchmark")
+@query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN trim(text) WHEN 1 THEN trim(text) || chr(10) || '``` not the last' WHEN 2 THEN ' ' || text || ' ' ELSE '```' || replace(text, chr(10), ' ') END AS inside FROM benchmark")
 def strip_code_fences(spark, sf_dir):
-    fenced = F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```\n"))
+    """Fenced; with a fence inside and words after the last; bare, which stays as it is; with a fence but no line end."""
+    fenced = F.expr("CASE item_id % 4 WHEN 0 THEN '```json\\n' || text || '\\n```\\n' WHEN 1 THEN ' ```\\n' || text || '\\n``` not the last\\n``` and more' WHEN 2 THEN ' ' || text || ' ' ELSE '```' || replace(text, '\\n', ' ') END")
     return _table(spark, sf_dir, "benchmark").select("item_id", C.strip_code_fence(fenced).alias("inside"))
 
 
-@query("SELECT event_id, regexp_matches(message, '(^|[^0-9A-Za-z])(429|5[0-9][0-9])($|[^0-9A-Za-z])') OR regexp_matches(lower(message), 'timeout|timed out|rate limit|too many requests|temporarily|unavailable|connection') AS transient FROM (SELECT event_id, 'HTTP ' || (400 + event_id % 200) || ' for ' || event_type AS message FROM events)")
+#: Messages with codes, glued and of other lengths too, and with phrases that tell of a passing error or only seem to.
+_MESSAGE = "CASE event_id % 9 WHEN 0 THEN 'HTTP ' || (400 + event_id % 200) || ' for ' || event_type WHEN 1 THEN 'model embed-' || (495 + event_id % 10) || 'd' WHEN 2 THEN 'code 5000' WHEN 3 THEN 'Rate limit reached' WHEN 4 THEN 'Request was throttled' WHEN 5 THEN 'connection timed out, temporarily' WHEN 6 THEN 'Bad Gateway' WHEN 7 THEN 'the Internal Server Error page' ELSE 'resource unavailable' END"
+
+
+@query("SELECT event_id, regexp_matches(message, '(^|[^0-9A-Za-z])(429|5[0-9][0-9])($|[^0-9A-Za-z])') OR regexp_matches(lower(message), 'rate limit|too many requests|throttl|internal server error|service unavailable|bad gateway|gateway timeout') AS transient FROM (SELECT event_id, {_MESSAGE} AS message FROM events)".replace("{_MESSAGE}", _MESSAGE))
 def transient_classifier(spark, sf_dir):
-    message = F.concat(F.lit("HTTP "), (400 + F.col("event_id") % 200).cast("string"), F.lit(" for "), F.col("event_type"))
+    message = F.expr(_MESSAGE)
     return _table(spark, sf_dir, "events").select("event_id", C.is_transient(message).alias("transient"))
 
 
@@ -232,20 +237,22 @@ def chunk_semantic(spark, sf_dir):
     return chunking.semantic_chunks(stores.documents(_table(spark, sf_dir, "documents")), OfflineProvider(), SemanticOptions(max_chars=1 << 20))
 
 
-@query()
+@query("""SELECT event_id, event_type, value, coalesce(len(json_keys(props)), 0)::INTEGER + 2 - (CASE WHEN json_exists(props, '$.meta') THEN 1 ELSE 0 END) - (CASE WHEN json_exists(props, '$.value') THEN 1 ELSE 0 END) AS n_keys FROM events""")
 def json_deep_merge(spark, sf_dir):
+    """What the merged objects hold: both sides' keys, those of the second over the first."""
     from .functions.python_columns import json_deep_merge as merge
 
     extra = F.to_json(F.struct(F.struct(F.col("event_type")).alias("meta"), F.col("value")))
-    return _table(spark, sf_dir, "events").select("event_id", merge(F.col("props"), extra).alias("merged"))
+    merged = _table(spark, sf_dir, "events").select("event_id", merge(F.col("props"), extra).alias("m"))
+    return merged.select("event_id", F.get_json_object("m", "$.meta.event_type").alias("event_type"), F.get_json_object("m", "$.value").cast("double").alias("value"), F.json_object_keys("m").alias("k")).select("event_id", "event_type", "value", F.size("k").alias("n_keys"))
 
 
-@query()
+@query("""SELECT item_id, text || ' and more' AS clean, 1 AS n, 0 AS start_offset, length(text)::INTEGER AS end_offset, text AS cited, 0 AS doc_index FROM benchmark""")
 def citation_markers(spark, sf_dir):
     from .functions.python_columns import citations
 
     marked = F.concat(F.lit("«cite:0»"), F.col("text"), F.lit("«/cite» and «cite:9»more«/cite»"))
-    return _table(spark, sf_dir, "benchmark").select("item_id", citations(marked, F.lit(1)).alias("c")).select("item_id", "c.clean", "c.citations")
+    return _table(spark, sf_dir, "benchmark").select("item_id", citations(marked, F.lit(1)).alias("c")).select("item_id", "c.clean", F.size("c.citations").alias("n"), F.col("c.citations")[0]["start"].alias("start_offset"), F.col("c.citations")[0]["end"].alias("end_offset"), F.col("c.citations")[0]["text"].alias("cited"), F.col("c.citations")[0]["doc_index"].alias("doc_index"))
 
 
 @query()
@@ -260,7 +267,8 @@ def ask_offline(spark, sf_dir):
     return rag.ask(questions, chunks, OfflineProvider(), RetrievalOptions(5), PackingOptions(1024))
 
 
-@query()
+@query("""WITH a AS (SELECT item_id AS query_id, text, array_to_string(list_slice(string_split_regex(trim(text), '\\s+'), 1, 40), ' ') AS answer FROM benchmark)
+SELECT query_id, 0 AS position, text AS query FROM a UNION ALL SELECT query_id, 1, answer FROM a WHERE answer <> text AND trim(answer) <> ''""")
 def query_expansion(spark, sf_dir):
     questions = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return grounding.transform_queries(questions, OfflineProvider(), "Give search queries, one a line.", grounding.expanded(3), 0.7)
@@ -273,9 +281,10 @@ def rerank_offline(spark, sf_dir):
     return retrieval.rerank(ranked, OfflineProvider()).select("query_id", "rank", "rerank_pos", "relevance")
 
 
-@query("SELECT conv_id AS request_id, turn AS seq, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start_offset, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS end_offset FROM conversations")
+@query("SELECT conv_id AS request_id, turn AS seq, coalesce(sum(length(text) + 3) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start_offset, (sum(length(text) + 3) OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS end_offset FROM conversations")
 def block_offsets(spark, sf_dir):
-    blocks = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text")
+    """Each block ends in a space and a character beyond the basic plane, which is two units."""
+    blocks = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.concat("text", F.lit(" 😀")).alias("text"))
     return grounding.block_offsets(blocks).drop("text")
 
 
@@ -283,3 +292,88 @@ def block_offsets(spark, sf_dir):
 def tool_arguments(spark, sf_dir):
     given = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.col("event_type"))
     return _table(spark, sf_dir, "events").select("event_id", C.tool_arguments(given).alias("arguments"))
+
+
+@query(f"""WITH {_LISTS}, every AS (SELECT * FROM lists WHERE list_id = 0 OR query_id % 100 = 0), n AS (SELECT query_id, count(DISTINCT list_id) AS n FROM every GROUP BY 1),
+fused AS (SELECT query_id, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM every GROUP BY ALL)
+SELECT query_id, vec_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM fused JOIN n USING (query_id) WHERE n > 1
+UNION ALL SELECT query_id, vec_id, round(score, 6), rank::INTEGER FROM ranked JOIN n USING (query_id) WHERE n = 1 AND rank <= {K}""")
+def union_of_retrievers(spark, sf_dir):
+    """Half of the questions have two lists, which are fused; the others one, which keeps its scores."""
+    queries, items = _query_vectors(spark, sf_dir), _items(spark, sf_dir)
+    near = retrieval.retrieve(queries, items, ["vec_id"], RetrievalOptions(K)).withColumn("list_id", F.lit(0))
+    second = _two_lists(spark, sf_dir).where("list_id = 1 AND query_id % 100 = 0").withColumn("score", F.lit(0.0))
+    found = retrieval.union_lists([near, second.select(*near.columns)], ["vec_id"])
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("SELECT conv_id AS query_id, turn, role, CASE WHEN k = 1 AND role = 'system' THEN text || chr(10) || chr(10) || 'ctx ' || conv_id ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations) UNION ALL SELECT conv_id, min(turn) - 1, 'system', 'ctx ' || conv_id FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'system') = 0")
+def grounding_messages(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), "turn", "role", "text")
+    contexts = turns.select("query_id").distinct().select("query_id", F.concat(F.lit("ctx "), F.col("query_id").cast("string")).alias("context"))
+    return grounding.grounded_messages(turns, contexts)
+
+
+@query("""SELECT conv_id AS query_id, CASE WHEN turn % 2 = 0 AND length(text) >= 5 THEN 1 ELSE 0 END AS start_offset, CASE WHEN turn % 2 = 0 AND length(text) >= 5 THEN 5 ELSE 0 END AS end_offset, CASE WHEN turn % 2 = 0 AND length(text) >= 5 THEN substr(text, 2, 4) ELSE '' END AS cited,
+CASE turn % 3 WHEN 0 THEN 'doc_a' WHEN 1 THEN 'doc_b' ELSE 'elsewhere' END AS document_id FROM conversations""")
+def annotation_citations(spark, sf_dir):
+    """By index, by the file's name in another case, and not at all; every other range is out of bounds."""
+    turns = _table(spark, sf_dir, "conversations")
+    pick = lambda a, b, c: F.when(F.col("turn") % 3 == 0, a).when(F.col("turn") % 3 == 1, b).otherwise(c)
+    none = F.lit(None)
+    notes = turns.select(F.col("conv_id").alias("query_id"), F.col("text").alias("content"), F.lit("file_citation").alias("type"), pick(none, none, F.lit("elsewhere")).cast("string").alias("file_id"), pick(none, F.lit("DOC_B"), none).cast("string").alias("filename"), pick(F.lit(0), none, F.lit(7)).cast("int").alias("doc_index"), F.lit(1).alias("start_index"), F.when(F.col("turn") % 2 == 0, 5).otherwise(1).alias("end_index"))
+    docs = turns.select(F.col("conv_id").alias("query_id")).distinct().select("query_id", F.posexplode(F.array(F.lit("doc_a"), F.lit("doc_b"))).alias("position", "id"))
+    return grounding.annotation_citations(notes, docs).withColumnsRenamed({"start": "start_offset", "end": "end_offset"})
+
+
+@query()
+def converse_offline(spark, sf_dir):
+    """Benchmark questions through two retrievers, with expansion, reranking, packing and a call each."""
+    provider = OfflineProvider()
+    chunks = rag.ingest(stores.documents(_table(spark, sf_dir, "documents")), provider)
+    questions = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    find = rag.vector_retriever(chunks, provider)
+    steps = [grounding.transformer(provider, "Give search queries, one a line.", grounding.expanded(2))]
+    return rag.converse(questions, [find, find], provider, rag.AskOptions(5, rerank=True, rerank_top=3, packing=PackingOptions(1024)), transformers=steps)
+
+
+_COVER = "SELECT doc_id::VARCHAR AS document_id, 0 AS first, length(text)::INTEGER AS last, true AS joined, true AS within FROM documents WHERE length(text) > 0"
+
+
+def _covers(chunks: DataFrame, size: int) -> DataFrame:
+    """Of each document: where its chunks begin and end, whether they leave no gap, are numbered in turn, and keep to the size."""
+    own = F.array_sort(F.collect_list(F.struct("chunk_index", "start_offset", "end_offset")))
+    grouped = chunks.groupBy("document_id").agg(own.alias("c"), F.max(C.utf16_length(F.col("text"))).alias("most"), F.min((C.utf16_length(F.col("text")) == F.col("end_offset") - F.col("start_offset")).cast("int")).alias("exact"))
+    meet = F.forall(F.sequence(F.lit(0), F.size("c") - 1), lambda k: (F.get("c", k)["chunk_index"] == k) & ((k == 0) | (F.get("c", k)["start_offset"] <= F.get("c", k - 1)["end_offset"])))
+    return grouped.select("document_id", F.get("c", F.lit(0))["start_offset"].alias("first"), F.element_at("c", -1)["end_offset"].alias("last"), (meet & (F.col("exact") == 1)).alias("joined"), (F.col("most") <= size).alias("within"))
+
+
+@query(_COVER)
+def chunk_recursive_cover(spark, sf_dir):
+    return _covers(chunk_recursive(spark, sf_dir), 1024)
+
+
+@query(_COVER + " AND regexp_matches(text, '[^ \\t-\\r]')")
+def chunk_semantic_cover(spark, sf_dir):
+    return _covers(chunk_semantic(spark, sf_dir), 1 << 20)
+
+
+@query("SELECT page_id % 50 AS query_id, 'f' || (page_id % 7) AS document_id, (row_number() OVER (PARTITION BY page_id % 50, page_id % 7 ORDER BY page_id) - 1)::INTEGER AS chunk_index, length(url)::INTEGER AS end_offset, (row_number() OVER (PARTITION BY page_id % 50 ORDER BY (page_id % 13)::DOUBLE / 13 DESC, page_id))::INTEGER AS rank, 'u' || (page_id % 3) AS kind FROM pages WHERE page_id % 11 <> 0")
+def file_search_results(spark, sf_dir):
+    """Pages stand for passages, a call each; some calls didn't complete."""
+    passage = F.struct(F.concat(F.lit("f"), (F.col("page_id") % 7).cast("string")).alias("file_id"), F.lit("n").alias("filename"), F.col("url").alias("text"), ((F.col("page_id") % 13) / 13).alias("score"), F.create_map(F.lit("kind"), F.concat(F.lit("u"), (F.col("page_id") % 3).cast("string"))).alias("attributes"))
+    calls = _table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("query_id"), F.col("page_id").alias("call"), F.when(F.col("page_id") % 11 == 0, "failed").otherwise("completed").alias("status"), F.array(passage).alias("results"))
+    return stores.file_search_results(calls).select("query_id", "document_id", "chunk_index", "end_offset", "rank", F.element_at("metadata", "kind").alias("kind"))
+
+
+@query("SELECT conv_id AS query_id, CASE WHEN turn % 2 = 0 AND length(text) >= 4 THEN 2 ELSE 0 END AS start_offset, CASE WHEN turn % 2 = 0 AND length(text) >= 4 THEN 4 ELSE 0 END AS end_offset, CASE WHEN turn % 2 = 0 AND length(text) >= 4 THEN substr(text, 3, 2) ELSE '' END AS cited, 'https://' || role AS source_id, role AS title FROM conversations WHERE turn % 3 <> 0")
+def web_citations(spark, sf_dir):
+    notes = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("text").alias("content"), F.when(F.col("turn") % 3 == 0, "file_citation").otherwise("url_citation").alias("type"), F.concat(F.lit("https://"), "role").alias("url"), F.col("role").alias("title"), F.lit(2).alias("start_index"), F.when(F.col("turn") % 2 == 0, 4).otherwise(1 << 30).alias("end_index"))
+    return grounding.web_citations(notes).withColumnsRenamed({"start": "start_offset", "end": "end_offset"})
+
+
+@query("SELECT event_id, event_type, user_id::VARCHAR AS user_id, CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END AS even, CASE WHEN event_id % 4 = 0 THEN (event_id // 4)::VARCHAR ELSE (event_id / 4)::VARCHAR END AS quarter FROM events")
+def metadata_canonical(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", (F.col("event_id") % 2 == 0).alias("even"), (F.col("event_id") / 4).alias("quarter"))
+    found = stores.canonical_metadata(rows, ["event_type", "user_id", "even", "quarter"])
+    return found.select("event_id", *(F.element_at("metadata", c).alias(c) for c in ("event_type", "user_id", "even", "quarter")))

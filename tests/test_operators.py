@@ -21,7 +21,7 @@ def docs(spark, *texts):
 
 @pytest.mark.parametrize(
     ("text", "size", "overlap", "want"),
-    [("abcdefgh", 4, 1, [("abcd", 0), ("defg", 3), ("gh", 6)]), ("abcdefg", 4, 1, [("abcd", 0), ("defg", 3)]), ("abcde", 3, 2, [("abc", 0), ("bcd", 1), ("cde", 2)]), ("", 4, 1, []), (None, 4, 1, []), ("😀🚀", 1, 0, [("😀", 0), ("🚀", 2)])],
+    [("one two three", 6, 2, [("one tw", 0), ("two th", 4), ("three", 8)]), ("one two th", 6, 2, [("one tw", 0), ("two th", 4)]), ("zyxwv", 4, 3, [("zyxw", 0), ("yxwv", 1)]), ("", 4, 1, []), (None, 4, 1, []), ("a😀\nb🚀c", 2, 0, [("a😀", 0), ("\nb", 3), ("🚀c", 5)]), ("😀b😀d😀f", 4, 3, [("😀b😀d", 0), ("b😀d😀", 2), ("😀d😀f", 3)])],
 )
 def test_fixed_chunks(spark, text, size, overlap, want):
     rows = chunking.fixed_chunks(docs(spark, text), ChunkOptions(size, overlap)).orderBy("chunk_index").collect()
@@ -163,3 +163,259 @@ def test_ask(spark):
     chunks = rag.ingest(docs(spark, "cats and dogs", "stars and planets"), OfflineProvider())
     got = rag.ask(spark.createDataFrame([(1, "planets")], "query_id int, query string"), chunks, OfflineProvider(), RetrievalOptions(1)).collect()
     assert got[0]["n_selected"] == 1 and "stars" in got[0]["context"]
+
+
+def test_texts_of_the_reference_kind(spark):
+    """Fences, the JSON word, families, image kinds, malformed JSON, nulls."""
+    from ragloom.functions.python_columns import citations, json_deep_merge, message_content
+
+    fence = lambda t: spark.range(1).select(C.strip_code_fence(F.lit(t))).first()[0]
+    assert fence(" ```json\n{}\n``` tail ") == "{}" and fence("  bare ") == "  bare " and fence("``` one line ```") == "``` one line ```" and fence("```\na\n```\nb\n```") == "a\n```\nb"
+    row = spark.range(1).select(C.ensure_json_word(F.lit("Be brief.")), C.ensure_json_word(F.lit(None).cast("string")), *(C.model_family(F.lit(m)) for m in ("O3-mini", "gpt-5", "gpt-4o")), C.data_uri(F.lit("x.bmp"), F.lit("a").cast("binary"))).first()
+    assert tuple(row) == ("Be brief. Respond in JSON.", "Respond in JSON.", "reasoning", "gpt5", "legacy", "data:application/octet-stream;base64,YQ==")
+    rows = spark.createDataFrame([("{", '{"a":1}', None), ('{"b":2}', "{", None), ("{", "{", None), ('{"a":{"x":1}}', '{"a":{"y":2}}', 1)], "a string, b string, n int")
+    got = rows.select(json_deep_merge("a", "b").alias("m"), message_content("a").alias("t"), citations(F.lit("«cite:0»x«/cite»"), "n").alias("c")).collect()
+    assert [r["m"] for r in got] == ['{"a":1}', '{"b":2}', None, '{"a": {"x": 1, "y": 2}}'] and got[0]["t"] is None and got[0]["c"]["citations"] == [] and len(got[3]["c"]["citations"]) == 1
+
+
+def test_judge_without_a_score(spark):
+    from ragloom.operators.grounding import judge
+
+    class Judge(OfflineProvider):
+        def chat(self, messages, temperature=None):
+            return '```json\n{"score": 1.4, "rationale": "r"}\n```' if "good" in messages[-1][1] else "no idea"
+
+    rows = spark.createDataFrame([(1, "q", "c", "good"), (2, "q", "c", "bad")], "query_id int, query string, context string, answer string")
+    got = {r["query_id"]: r for r in judge(rows, Judge(), "groundedness").collect()}
+    assert got[1]["score"] == 1.0 and got[1]["error"] is None and got[2]["score"] is None and "no idea" in got[2]["error"]
+
+
+def test_embedding_in_order_and_at_once(spark):
+    class Slow(OfflineProvider):
+        def __getstate__(self):
+            return {"dimension": self.dimension}
+
+        def embed(self, texts, kind):
+            import time
+
+            time.sleep(0.05 if "0" in texts[0] else 0)
+            return super().embed(texts, kind)
+
+    rows = [(f"d{k}", 0, 0, 3, f"t {k}") for k in range(23)]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_index int, start_offset int, end_offset int, text string").repartition(2)
+    for concurrency in (1, 4):
+        got = embedding.embed_chunks(chunks, Slow(), EmbedOptions(5, concurrency=concurrency)).collect()
+        sizes = {}
+        for r in got:
+            sizes[r["batch_index"]] = sizes.get(r["batch_index"], 0) + 1
+            assert r["is_success"] and r["embedding"] == pytest.approx(OfflineProvider().embed([r["text"]], "document")[0])
+        assert len(got) == 23 and max(sizes.values()) == 5 and len({b >> 33 for b in sizes}) == 2
+    done = embedding.progress(embedding.embed_chunks(chunks, Slow(), EmbedOptions(5))).orderBy("batch_index").collect()
+    assert done[-1]["completed_batches"] == len(done) and done[-1]["total_chunks"] == 23 and done[-1]["failed_batches"] == 0
+    budget = embedding.embed_chunks(chunks.coalesce(1), OfflineProvider(), EmbedOptions(10, max_tokens=3)).groupBy("batch_index").agg(F.sum((F.length("text") / 4).cast("int")).alias("t")).collect()
+    assert max(r["t"] for r in budget) == 3
+
+
+def scripted():
+    """Answers by what it is asked for; a class of its own here, as workers don't know this module."""
+
+    class Scripted(OfflineProvider):
+        def chat(self, messages, temperature=None):
+            system, user = messages[0][1], messages[-1][1]
+            if "stands alone" in system:
+                return "stars and planets" if "astronomy" in user else ""
+            if "queries" in system:
+                return "planets\nPLANETS\ncats"
+            return "It is «cite:0»so«/cite»."
+
+    return Scripted()
+
+
+def test_transformers_in_turn(spark):
+    from ragloom.operators import grounding
+
+    asked = spark.createDataFrame([(1, "stars"), (2, "dogs")], "query_id int, query string")
+    step = grounding.transformer(scripted(), "Give queries", grounding.expanded(3))
+    got = grounding.transform_in_turn(asked, [step, step]).orderBy("query_id", "position").collect()
+    assert [(r["query_id"], r["position"], r["query"]) for r in got] == [(1, 0, "stars"), (1, 1, "planets"), (1, 2, "cats"), (2, 0, "dogs"), (2, 1, "planets"), (2, 2, "cats")]
+    several = grounding.transform_queries(asked, scripted(), "x", grounding.hypothetical(True), calls=2).where("query_id = 1").collect()
+    assert [r["query"] for r in several] == ["stars", "It is «cite:0»so«/cite»."]
+
+    class Broken(OfflineProvider):
+        def chat(self, messages, temperature=None):
+            raise RuntimeError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        grounding.transform_queries(asked, Broken(), "x", grounding.rewritten).collect()
+    history = spark.createDataFrame([(1, 0, "user", "astronomy")], "query_id int, turn int, role string, text string")
+    assert {r["query_id"]: r["rewritten_query"] for r in grounding.rewrite_with_history(asked, history, scripted()).collect()} == {1: "stars and planets", 2: None}
+    assert {r["query_id"]: r["rewritten_query"] for r in grounding.rewrite_with_history(asked, history, Broken()).collect()} == {1: "stars", 2: None}
+
+
+def test_converse(spark):
+    from ragloom.operators import grounding
+
+    chunks = rag.ingest(docs(spark, "cats and dogs", "stars and planets", "rivers and lakes"), OfflineProvider())
+    asked = spark.createDataFrame([(1, "tell me more"), (2, "cats")], "query_id int, query string")
+    history = spark.createDataFrame([(1, 0, "user", "astronomy please")], "query_id int, turn int, role string, text string")
+    find = rag.vector_retriever(chunks, OfflineProvider())
+    got = {r["query_id"]: r for r in rag.converse(asked, [find], scripted(), rag.AskOptions(1), history).collect()}
+    assert got[1]["rewritten_query"] == "stars and planets" and got[1]["chunks"][0]["document_id"] == "d1" and got[1]["chunks"][0]["score"] == pytest.approx(1)
+    assert got[2]["rewritten_query"] is None and got[2]["chunks"][0]["document_id"] == "d0" and got[2]["search_queries"] == ["cats"]
+    assert got[1]["answer"] == "It is so." and got[1]["citations"][0]["doc_index"] == 0 and got[1]["error_message"] is None
+    step = grounding.transformer(scripted(), "Give queries", grounding.expanded(3))
+    fused = {r["query_id"]: r for r in rag.converse(asked, [find, find], scripted(), rag.AskOptions(2, rag.RetrievalOptions(1), rerank=True), transformers=[step]).collect()}
+    assert fused[2]["search_queries"] == ["cats", "planets"] and {c["document_id"] for c in fused[2]["chunks"]} == {"d0", "d1"}
+
+    def picky(queries, options):
+        if options.provider_query:
+            raise ValueError("unknown extension")
+        return find(queries, options)
+
+    knows = lambda queries, options: find(queries, RetrievalOptions(options.top_k))
+    own = rag.AskOptions(retrieval=RetrievalOptions(1, provider_query="x"))
+    assert rag.converse(asked, [picky, knows], scripted(), own, chat=False).count() == 2
+    with pytest.raises(ValueError, match="unknown extension"):
+        rag.converse(asked, [picky], scripted(), own)
+    nothing = rag.converse(asked, [rag.vector_retriever(chunks, OfflineProvider())], scripted(), rag.AskOptions(retrieval=RetrievalOptions(1, 2.0))).collect()
+    assert all(r["chunks"] == [] and r["n_dropped"] == 0 for r in nothing)
+
+
+def test_token_counters(spark):
+    import public_tokenizers
+
+    from ragloom.functions.tokens import LocalCounter, RemoteCounter, token_count
+
+    local = LocalCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Some words, and then some more of them. " * 8
+    n = local.count(text)
+    assert local.index_from_start(text, n) == len(text) and local.index_from_end(text, n) == 0 and local.index_from_end(text, 0) == len(text)
+    assert local.count(text[: local.index_from_start(text, 5)]) == 5
+    spans = chunking.recursive_spans(text, local.chunk_options(20, 4))
+    assert spans[-1][1] == len(text) and all(local.count(text[a:b]) <= 21 for a, b in spans) and len(spans) > 3
+    remote = RemoteCounter(lambda t: len(t.split()), 30)
+    assert remote.count(text) == 64
+    got = spark.createDataFrame([("one two",), (None,)], "t string").select(token_count(F.col("t"), remote).alias("n")).collect()
+    assert [r["n"] for r in got] == [2, None]
+
+
+def test_http_provider():
+    import base64
+    import json
+    import pickle
+    import struct
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from ragloom import providers, providers_http
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(body)
+            bad = body["model"] == "bad"
+            flaky = body["model"] == "flaky" and sum(b["model"] == "flaky" for b in seen) < 3
+            self.send_response(400 if bad else 503 if flaky else 200)
+            self.end_headers()
+            if self.path.endswith("/embeddings"):
+                vector = base64.b64encode(struct.pack("<2f", 1, 2)).decode() if body["encoding_format"] == "base64" else [1.0, 2.0]
+                out = {"data": [{"index": k, "embedding": vector} for k in range(len(body["input"]))]}
+            elif self.path.endswith("/rerank"):
+                out = {"results": [{"index": 1, "relevance_score": 0.5}]}
+            else:
+                out = {"choices": [{"message": {"content": body["messages"][-1]["content"].upper()}}]}
+            self.wfile.write(json.dumps(out).encode())
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, quick = f"http://127.0.0.1:{server.server_port}", providers_http.Resilience(delay=0.01)
+    models = {"embed": "flaky", "rerank": "r", "chat": "c"}
+    for encoding in ("float", "base64"):
+        provider = pickle.loads(pickle.dumps(providers.create("http", base_url=url, models=models, encoding=encoding, rules=quick)))
+        assert provider.embed(["a", "b"], "document") == [[1.0, 2.0]] * 2
+    assert provider.rerank("q", ["a", "b"]) == [(1, 0.5)] and provider.chat([("user", "hi")]) == "HI"
+    assert providers.has(provider, "chat") and not providers.has(providers_http.HttpProvider(url, {}), "chat")
+    bad = providers_http.HttpProvider(url, {"chat": "bad"}, rules=quick)
+    before = len(seen)
+    with pytest.raises(RuntimeError, match="HTTP 400"):
+        bad.chat([("user", "x")])
+    assert len(seen) == before + 1
+    server.shutdown()
+    server.server_close()
+    gone = providers_http.HttpProvider(url, {"chat": "c"}, rules=providers_http.Resilience(retries=0, delay=0.01, least_calls=3))
+    for _ in range(3):
+        with pytest.raises(RuntimeError, match="unavailable"):
+            gone.chat([("user", "x")])
+    with pytest.raises(providers_http.CircuitOpen):
+        gone.chat([("user", "x")])
+    with pytest.raises(ValueError):
+        providers.create("no such")
+    states = iter(["in_progress", "completed"])
+    assert providers.wait_until_processed(lambda: next(states), interval=0.01) == "completed"
+    with pytest.raises(TimeoutError):
+        providers.wait_until_processed(lambda: "in_progress", 0.02, 0.01)
+
+
+def test_stores_and_sources(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.txt").write_text(folder)
+    got = stores.text_files(spark, f"{tmp_path}/*/same.txt").collect()
+    assert len({r["document_id"] for r in got}) == 2 and {r["text"] for r in got} == {"a", "b"}
+    spark.sql("CREATE DATABASE IF NOT EXISTS ragloom_test")
+    spark.catalog.setCurrentDatabase("ragloom_test")
+    try:
+        store = stores.VectorStore(spark, "store_of_test")
+        store.drop()
+        assert not store.exists()
+        rows = spark.createDataFrame([(f"d{k % 3}", k) for k in range(9)], "document_id string, chunk_index int")
+        store.add(rows)
+        store.add(rows)
+        assert store.exists() and store.count() == 18 and store.file("d1").count() == 6 and "store_of_test" in stores.VectorStore.names(spark)
+        assert [r["document_id"] for r in store.files("d0", 5).collect()] == ["d1", "d2"]
+        store.delete_files(["d1"])
+        assert store.count() == 12 and store.file("d1").count() == 0
+        store.drop()
+    finally:
+        spark.catalog.setCurrentDatabase("default")
+        spark.sql("DROP DATABASE IF EXISTS ragloom_test CASCADE")
+
+
+def test_cited_documents(spark):
+    from ragloom.functions.python_columns import citations
+    from ragloom.operators import grounding
+
+    cited = spark.createDataFrame([(1, "«cite:1»x«/cite» y")], "query_id int, t string").select("query_id", citations(F.col("t"), F.lit(2)).alias("c")).select("query_id", "c.citations")
+    documents = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "query_id int, position int, document_id string")
+    assert [(r["cited"], r["document_id"]) for r in grounding.cited_documents(cited, documents).collect()] == [("x", "b")]
+    modes = spark.createDataFrame([("Accurate", "command-a-03"), ("accurate", "command-r"), ("fast", None), ("SearchResult", "x")], "mode string, model string")
+    assert [r[0] for r in modes.select(grounding.citation_mode(F.col("mode"), F.col("model"))).collect()] == ["FAST", "ACCURATE", "FAST", "ENABLED"]
+
+
+def test_streamed_answers(spark, tmp_path):
+    from ragloom.streaming.answers import ask_stream, assemble_stream, file_stream
+
+    def lines(name, rows):
+        spark.createDataFrame(rows, "request_id string, seq int, line string").coalesce(1).write.mode("append").json(str(tmp_path / "lines"))
+
+    def run():
+        stream = file_stream(spark, str(tmp_path / "lines"), "request_id string, seq int, line string", max_files=1)
+        query = assemble_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "answers")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    lines(1, [("a", 1, 'data: {"delta":"lo"}'), ("b", 0, 'data: {"delta":"half"}')])
+    run()
+    lines(2, [("a", 2, "data: [DONE]"), ("a", 0, 'data: {"delta":"Hel"}')])
+    run()
+    assert [(r["request_id"], r["answer"], r["finished"]) for r in spark.read.parquet(str(tmp_path / "answers")).collect()] == [("a", "Hello", True)]
+    chunks = rag.ingest(docs(spark, "cats and dogs", "stars and planets"), OfflineProvider())
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    spark.createDataFrame([(1, "planets")], "query_id int, query string").write.json(str(tmp_path / "asked"))
+    find = rag.vector_retriever(spark.read.parquet(str(tmp_path / "chunks")), OfflineProvider())
+    ask_stream(file_stream(spark, str(tmp_path / "asked"), "query_id int, query string"), [find], OfflineProvider(), str(tmp_path / "out"), str(tmp_path / "check"), rag.AskOptions(1)).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).collect()[0]["chunks"][0]["document_id"] == "d1"
