@@ -42,10 +42,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are judged like all others, and so are repeated rows. An empty table gives an empty one. Columns may clash.
     """
     names = docs.columns
-    rows = cut(_plain(docs).withColumn("_row", F.monotonically_increasing_id()))
-    fields = {n: F.col(f"_c{names.index(n)}").alias(n) for n in ("doc_id", "lang", "text", "source")}
-    found = document_languages(rows.select(*fields.values(), "_row"), "_row")
-    return _named(_without(rows, cut(found.where(~F.col("accepted")).select("_row")), "_row"), names)
+    used = {n: F.col(f"_c{names.index(n)}") for n in ("doc_id", "lang", "text", "source")}
+    # rows that agree in all that decides are decided alike, so a hash of it, 128 bits wide, names them; nothing is written
+    parts = [x for c in used.values() for x in (c.isNull(), c)]
+    rows = _plain(docs).withColumn("_row", F.concat_ws(":", *(F.xxhash64(F.lit(k), *parts) for k in (1, 2))))
+    found = document_languages(rows.select(*(c.alias(n) for n, c in used.items()), "_row"), "_row")
+    return _named(_without(rows, cut(found.where(~F.col("accepted")).select("_row").distinct()), "_row"), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
