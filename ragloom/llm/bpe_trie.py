@@ -39,8 +39,8 @@ def _latin_pattern() -> str:
     return rf" ?[{letters}]+| ?[{numbers}]+|'(?:[stmd]|re|ve|ll)| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
 
 
-#: Words whose encodings a worker keeps; beyond, it forgets all but those of the texts at hand.
-KEPT_WORDS = 300_000
+#: Words whose encodings a worker keeps during a task; beyond, it forgets all but those of the texts at hand.
+KEPT_WORDS = 200_000
 #: Pairs of tokens of which a worker knows whether they stay apart.
 KEPT_PAIRS = 400_000
 #: Words longer than this are encoded but not kept.
@@ -224,6 +224,10 @@ class TrieBpe:
         ids = {w: [int(x) for x in text.split(",")] for w, text, _ in self._encoded(set().union(*split))}
         return [list(chain.from_iterable(map(ids.__getitem__, words))) for words in split]
 
+    def forget(self) -> None:
+        """Drop the known words: a worker outlives its task, and other work needs the memory."""
+        self.written, self.read = {}, {}
+
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
         split = [self.pre_tokenize(t) for t in texts]
@@ -285,6 +289,7 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         for part in text_slices(batches, "text", SLICE_BYTES):
             n, ids, decoded = zip(*own.digests(part.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     kept = pick(docs, id_col, text_col).toDF("id", "text")
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
